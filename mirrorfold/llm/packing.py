@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from mirrorfold.llm.common import cut, need, table
-from mirrorfold.llm.tokens import WordEncoder, arrow, default_tokenizer, rows
+from mirrorfold.llm.tokens import arrow, default_tokenizer, encoder, rows
 
 CAPACITY = 2048
 
@@ -111,12 +111,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
         from pyspark import TaskContext
 
-        encoder, chunk, seen = WordEncoder(tokenizer), TaskContext.get().partitionId(), Counter()
+        encode, chunk, seen = encoder(tokenizer).ids, TaskContext.get().partitionId(), Counter()
         end = end_id.to_bytes(4, "little")
 
         def out():
             for doc_id, text in rows(batches, "doc_id", "text"):
-                ids = encoder.ids(text) + end
+                ids = encode(text) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     n = len(part) // 4
