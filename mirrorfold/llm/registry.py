@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mirrorfold.llm.bitfiles import op10_token_bit_files
 from mirrorfold.llm.mixing import OP6_SQL, op6_mix_sources
+from mirrorfold.llm.neardup import OP4_SQL, op4_minhash_near_dedup
 from mirrorfold.llm.packing import op3_best_fit_packing
 from mirrorfold.llm.topk import OP9_SQL, op9_exact_top_k
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op6_mix_sources, op9_exact_top_k, op10_token_bit_files)}
+    return {f.__name__: f for f in (op3_best_fit_packing, op4_minhash_near_dedup, op6_mix_sources, op9_exact_top_k, op10_token_bit_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": OP6_SQL, "op9_exact_top_k": OP9_SQL}
+    return {"op4_minhash_near_dedup": OP4_SQL, "op6_mix_sources": OP6_SQL, "op9_exact_top_k": OP9_SQL}
