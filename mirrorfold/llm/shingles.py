@@ -20,7 +20,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE and its inverse to the powers 0..n-1, modulo 2**64."""
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, AT_ONCE + 1)
-        _POWERS[:] = [np.cumprod(np.concatenate([[1], np.full(size - 1, x, np.uint64)]).astype(np.uint64)) for x in (BASE, pow(BASE, -1, 1 << 64))]
+        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)]), dtype=np.uint64) for x in (BASE, pow(BASE, -1, 1 << 64))]
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
