@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from mirrorfold.llm.bitfiles import op10_token_bit_files
+from mirrorfold.llm.hmm import op5_hmm_scores
 from mirrorfold.llm.lzprint import op7_lz_fingerprints
 from mirrorfold.llm.mixing import OP6_SQL, op6_mix_sources
 from mirrorfold.llm.neardup import OP4_SQL, op4_minhash_near_dedup
@@ -15,7 +16,7 @@ from mirrorfold.llm.topk import OP9_SQL, op9_exact_top_k
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_minhash_near_dedup, op6_mix_sources, op7_lz_fingerprints, op9_exact_top_k, op10_token_bit_files)}
+    return {f.__name__: f for f in (op3_best_fit_packing, op4_minhash_near_dedup, op5_hmm_scores, op6_mix_sources, op7_lz_fingerprints, op9_exact_top_k, op10_token_bit_files)}
 
 
 def oracle_sql() -> dict[str, str]:
