@@ -3,8 +3,13 @@
 One hash of each shingle gives the whole signature: its high bits choose a bin, its low bits compete
 there; an empty bin borrows from the first filled one along a fixed random order of its own. Bands of the
 signature are bucket keys. Equal sets are one node from the start. A bucket emits a star: an edge from
-each node to its least; edges are confirmed on the full sets. That leaves nodes of one bucket in different
-groups: just those are compared with the rest of their buckets, so no link that a bucket could show is lost.
+each node to its least; edges are measured on the full sets, and the near ones link.
+
+A star can miss a link between two of its leaves. So leaves that stay in different groups are looked at
+again, with no pair written out. The star's measured edges also tell families (at least KIN percent alike);
+within a family that is still in parts, the smaller parts meet the whole, block against block, and only
+links come out. Leaves of different families meet in their buckets, unless their distances to the bucket's
+centre differ by more than a link's: distances of sets obey the triangle inequality, so none is lost.
 """
 
 from __future__ import annotations
@@ -19,7 +24,8 @@ from mirrorfold.llm.shingles import mixed, shingle_sets
 from mirrorfold.llm.tokens import arrow
 
 BINS, ROWS = 128, 4  # bins of the signature; rows of a band
-PERCENT, WORDS = 80, 5
+PERCENT, WORDS, KIN = 80, 5, 40
+BLOCK = 1024  # nodes of a family that meet as many others at once
 BROADCAST = 500_000  # ids that go to every task at most (8 bytes each); more go by a shuffle
 
 ORDER = np.stack([np.random.default_rng(1000 + k).permutation(BINS) for k in range(BINS)])
@@ -84,26 +90,65 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return found.join(nodes.select("fp", "node"), "fp").groupBy("node").agg(F.first("grams").alias("grams"))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets share `percent` of their union or more."""
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) with the sizes of their sets' intersection and union: same, all."""
     import pyarrow as pa
 
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    schema = pa.schema([(x, pa.int64()) for x in ("u", "v", "same", "all")])
 
     def make(batches):
         for batch in batches:
             out = []
             for u, v, a, b in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = np.concatenate([a, b])
+                both = np.concatenate([np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)])
                 both.sort(kind="stable")
                 same = int((both[1:] == both[:-1]).sum())
-                if 100 * same >= percent * (len(both) - same):
-                    out.append((u, v))
+                out.append((u, v, same, len(both) - same))
             yield from arrow(out, schema)
 
     left, right = sets.select(F.col("node").alias("u"), F.col("grams").alias("a")), sets.select(F.col("node").alias("v"), F.col("grams").alias("b"))
-    return pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(make, "u long, v long")
+    return pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(make, "u long, v long, same long, all long")
+
+
+def across_parts(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (u, v) between the parts (root) of families (kin): v is the root of a part that u has a link into.
+
+    members: node, doc_id, fp, kin, root. The largest part meets only the others.
+    """
+    import pyarrow as pa
+
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    parts = members.groupBy("kin", "root").agg(F.count("*").alias("m"))
+    torn = parts.groupBy("kin").agg(F.max(F.struct("m", "root")).alias("x"), F.count("*").alias("parts"), F.sum("m").alias("size")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    torn = torn.select("kin", F.col("x.root").alias("largest"), blocks(F.col("size")).alias("rights"), blocks(F.col("size") - F.col("x.m")).alias("lefts"))
+    within = cut(members.join(torn, "kin"))
+    if within.isEmpty():
+        return within.select(F.col("node").alias("u"), F.col("root").alias("v")).limit(0)
+    within = within.join(cut(full_sets(docs, within.select("node", "doc_id", "fp"), width)), "node")
+    dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = within.where("root <> largest").select("kin", dealt("lefts").alias("l"), every("rights").alias("r"), "node", "root", "grams")
+    right = within.select(F.col("kin").alias("of"), every("lefts").alias("l"), dealt("rights").alias("r"), F.col("root").alias("part"), F.col("grams").alias("set"))
+
+    def meet(a, b):
+        sets = [np.frombuffer(x, np.uint64) for x in b.column("set").to_pylist()]
+        roots, sizes = np.asarray(b.column("part")), np.array([len(x) for x in sets], np.int64)
+        grams = np.concatenate(sets or [np.zeros(0, np.uint64)])
+        order = np.argsort(grams, kind="stable")
+        grams, owner = grams[order], np.repeat(np.arange(len(sets)), sizes)[order]
+        out = []
+        for u, root, x in zip(a.column("node").to_pylist(), a.column("root").to_pylist(), a.column("grams").to_pylist(), strict=True):
+            x = np.frombuffer(x, np.uint64)
+            first, end = np.searchsorted(grams, x, "left"), np.searchsorted(grams, x, "right")
+            n = end - first
+            at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            same = np.bincount(owner[at], minlength=len(sets))
+            near = (100 * same >= percent * (len(x) + sizes - same)) & (roots != root)
+            out.extend((u, int(v)) for v in np.unique(roots[near]))
+        return pa.Table.from_batches(list(arrow(out, schema)), schema)
+
+    return left.groupBy("kin", "l", "r").cogroup(right.groupBy("of", "l", "r")).applyInArrow(meet, "u long, v long")
 
 
 def groups(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -123,26 +168,34 @@ def groups(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataF
     near = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)  # noqa: E731  sizes that can still reach it
     star = cut(shared.where((F.col("node") != F.col("centre")) & near(F.col("n"), F.col("centre_n"))).select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct())
 
-    def check(pairs: DataFrame) -> DataFrame:
+    def measure(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        sets = cut(full_sets(docs, cut(nodes.join(ends, "node").select("node", "doc_id", "fp")), width))
-        return cut(confirmed(pairs, sets, percent))
+        return cut(measured(pairs, cut(full_sets(docs, cut(nodes.join(ends, "node").select("node", "doc_id", "fp")), width))))
 
     # An id of several texts ties their nodes
     twice = real.select("doc_id", "fp").distinct().join(real.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("doc_id"), "doc_id").join(nodes.select("fp", "node"), "fp").select("doc_id", "node")
     ties = twice.join(twice.groupBy("doc_id").agg(F.min("node").alias("v")), "doc_id").where("node <> v").select(F.col("node").alias("u"), "v")
-    links = cut(check(star).unionByName(ties))
-    roots = cut(components(links))
-
-    here = cut(shared.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")))
-    torn = here.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("x"), F.count("*").alias("roots")).where("roots > 1").select("key", F.col("x.root").alias("largest"))
-    torn = cut(here.join(torn, "key"))
-    a, b = torn.where("root <> largest").alias("a"), torn.alias("b")
-    across = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.largest")) | (F.col("a.node") < F.col("b.node"))) & near(F.col("a.n"), F.col("b.n"))
-    rest = a.join(b, across).select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
-    rest = cut(rest.join(star, ["u", "v"], "left_anti"))
+    linked = lambda m, least: m.where(100 * F.col("same") >= least * F.col("all")).select("u", "v")
+    star = measure(star)
+    links = cut(linked(star, percent).unionByName(ties))
+    roots, kin = cut(components(links)), components(linked(star, KIN)).select("node", F.col("root").alias("kin"))
+    kin = cut(kin.join(roots, "node", "left").select("node", "kin", F.coalesce("root", "node").alias("root")))
+    more = cut(across_parts(nodes.select("node", "doc_id", "fp").join(kin, "node"), docs, width, percent))
+
+    own = lambda x: F.coalesce(x, "node").alias(x)
+    far = star.select(F.col("u").alias("node"), F.col("v").alias("centre"), (1 - F.col("same") / F.col("all")).alias("far"))
+    here = shared.join(kin, "node", "left").select("key", "node", "centre", "n", own("root"), own("kin"))
+    torn = here.groupBy("key", "kin").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "kin")).alias("x"), F.count("*").alias("kins"), F.sum("m").alias("m")).where("kins > 1 AND m > 2").select("key", F.col("x.kin").alias("largest"))
+    torn = here.join(torn, "key").join(far, ["node", "centre"], "left")
+    torn = cut(torn.withColumn("far", F.when(F.col("node") == F.col("centre"), F.lit(0.0)).otherwise(F.col("far"))).where("node <> centre"))
+    a, b = torn.where("kin <> largest").alias("a"), torn.alias("b")
+    apart = F.coalesce(F.abs(F.col("a.far") - F.col("b.far")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+    across = (F.col("a.key") == F.col("b.key")) & (F.col("a.kin") != F.col("b.kin")) & ((F.col("b.kin") == F.col("b.largest")) | (F.col("a.node") < F.col("b.node"))) & near(F.col("a.n"), F.col("b.n")) & apart
+    rest = cut(a.join(b, across).select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct())
     if not rest.isEmpty():
-        roots = cut(components(links.unionByName(check(rest))))
+        more = more.unionByName(linked(measure(rest), percent))
+    if not more.isEmpty():
+        roots = cut(components(links.unionByName(more)))
 
     owned = nodes.select("fp", "node", "doc_id").join(roots, "node", "left").select("fp", "doc_id", F.coalesce("root", "node").alias("root"))
     named = owned.groupBy("root").agg(F.min("doc_id").alias("component_id"))
