@@ -12,12 +12,13 @@ from mirrorfold.llm.lzprint import op7_lz_fingerprints
 from mirrorfold.llm.mixing import OP6_SQL, op6_mix_sources
 from mirrorfold.llm.neardup import OP4_SQL, op4_minhash_near_dedup
 from mirrorfold.llm.packing import op3_best_fit_packing
+from mirrorfold.llm.pii import op8_pii_surrogates
 from mirrorfold.llm.topk import OP9_SQL, op9_exact_top_k
 from mirrorfold.llm.toxicity import op2_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_best_fit_packing, op4_minhash_near_dedup, op5_hmm_scores, op6_mix_sources, op7_lz_fingerprints, op9_exact_top_k, op10_token_bit_files)}
+    return {f.__name__: f for f in (op2_toxicity, op3_best_fit_packing, op4_minhash_near_dedup, op5_hmm_scores, op6_mix_sources, op7_lz_fingerprints, op8_pii_surrogates, op9_exact_top_k, op10_token_bit_files)}
 
 
 def oracle_sql() -> dict[str, str]:
