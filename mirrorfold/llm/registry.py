@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mirrorfold.llm.bitfiles import op10_token_bit_files
 from mirrorfold.llm.hmm import op5_hmm_scores
+from mirrorfold.llm.htmltext import op1_html_main_text
 from mirrorfold.llm.lzprint import op7_lz_fingerprints
 from mirrorfold.llm.mixing import OP6_SQL, op6_mix_sources
 from mirrorfold.llm.neardup import OP4_SQL, op4_minhash_near_dedup
@@ -18,7 +19,7 @@ from mirrorfold.llm.toxicity import op2_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_best_fit_packing, op4_minhash_near_dedup, op5_hmm_scores, op6_mix_sources, op7_lz_fingerprints, op8_pii_surrogates, op9_exact_top_k, op10_token_bit_files)}
+    return {f.__name__: f for f in (op1_html_main_text, op2_toxicity, op3_best_fit_packing, op4_minhash_near_dedup, op5_hmm_scores, op6_mix_sources, op7_lz_fingerprints, op8_pii_surrogates, op9_exact_top_k, op10_token_bit_files)}
 
 
 def oracle_sql() -> dict[str, str]:
