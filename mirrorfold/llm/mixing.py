@@ -45,7 +45,7 @@ def targets(sources: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken and times (how often the document is in the mix) of each row.
+    """doc_id, source, size, source_size, target, taken and times (how often the document is in the mix) of each row.
 
     Sizes count words; null and empty texts have 0 and are taken as often as their place says. A null
     source is a source. Repeated rows queue one behind the other, rows alike in all that counts share a
@@ -63,8 +63,8 @@ def mix(docs: DataFrame) -> DataFrame:
     finish = lambda again: (again * F.col("source_size") + F.col("before") + F.col("through")) / F.greatest(F.col("target"), F.lit(1e-9))
     queued = cut(
         sized.join(begun, sized["source"].eqNullSafe(begun["source"]) & (sized["slot"] == begun["slot"]))
-        .select("doc_id", "size", "source_size", "target", "before", F.sum("size").over(within).alias("through"))
-        .select("doc_id", "size", "source_size", "target", finish(F.lit(0)).alias("first"), finish(F.lit(1)).alias("second"))
+        .select("doc_id", sized["source"], "size", "source_size", "target", "before", F.sum("size").over(within).alias("through"))
+        .select("doc_id", "source", "size", "source_size", "target", finish(F.lit(0)).alias("first"), finish(F.lit(1)).alias("second"))
     )
     each = queued.select("size", F.explode(F.array("first", "second")).alias("at")).withColumn("range", F.least(F.floor(F.col("at") * RANGES), F.lit(2 * RANGES)))
     ranges = each.groupBy("range").agg(F.sum("size").alias("range_size"))
@@ -76,11 +76,22 @@ def mix(docs: DataFrame) -> DataFrame:
     # A row, null where the whole fits: the last finish time within the budget, or else the edge's own start
     end = last.agg(F.max(F.when(F.col("sum") <= F.col("budget"), F.col("at"))).alias("end"), F.min("at").alias("over")).select(F.coalesce("end", F.col("over") - 1e-12).alias("end"))
     times = F.when(F.col("end").isNull(), F.lit(2)).otherwise((F.col("first") <= F.col("end")).cast("int") + (F.col("second") <= F.col("end")).cast("int"))
-    return queued.crossJoin(F.broadcast(end)).select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
+    return queued.crossJoin(F.broadcast(end)).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """The documents of the mix, each as many times as it is taken; the columns of docs.
+
+    Rows of one id with equal source and size share their place, so the mix takes them equally often.
+    """
+    told = mix(docs).select(F.col("doc_id").alias("id_"), F.col("source").alias("source_"), F.col("size").alias("taken_size_"), F.col("times").alias("times_")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("source_")) & (F.col("size_") == F.col("taken_size_"))
+    put = docs.withColumn("size_", words("text")).join(told, same).where("times_ > 0")
+    return put.withColumn("again_", F.explode(F.sequence(F.lit(1), F.col("times_")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
 #: The same queue over whole windows. Finish times are doubles of the same operations in the same order.
