@@ -1,0 +1,33 @@
+"""Which paths and texts take part, and which are shown."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Path components and banners of the domain
+ARTEFACTS = ("target", "build", "dist", "out", "bin", "obj", "coverage", "__pycache__", ".git")
+DEPENDENCIES = ("node_modules", "vendor", "third_party", "site-packages")
+BANNERS = ("code generated", "do not edit", "auto-generated", "autogenerated", "generated by", "this file is generated")
+MEAN_LINE, LEAST_SIZE, SAMPLE = 200, 16_384, 65_536
+
+
+def excluded(path: Column, dependencies: bool = False) -> Column:
+    names = ARTEFACTS if dependencies else ARTEFACTS + DEPENDENCIES
+    return F.arrays_overlap(F.split(F.lower(path), "/"), F.array(*map(F.lit, names)))
+
+
+def minified(path: Column, text: Column) -> Column:
+    """By its name, or large with long lines in its first SAMPLE characters."""
+    sample = F.substring(text, 1, SAMPLE)
+    mean = F.floor(F.octet_length(sample) / F.size(F.split(sample, "\n", -1)))
+    return path.rlike(r"\.min\.(js|css)$") | ((F.octet_length(text) >= LEAST_SIZE) & (mean > MEAN_LINE))
+
+
+def generated(text: Column, lines: int = 5) -> Column:
+    """A banner in the opening lines."""
+    head = F.lower(F.array_join(F.slice(F.split(text, "\n", -1), 1, lines), "\n"))
+    found = F.lit(False)
+    for b in BANNERS:
+        found = found | F.contains(head, F.lit(b))
+    return found
