@@ -35,7 +35,12 @@ def words(text: Column) -> Column:
 
 def kgrams(tokens: Column, k: int = KGRAM) -> Column:
     """Runs of k tokens, space-joined; none below k."""
-    return F.when(F.size(tokens) >= k, F.transform(F.sequence(F.lit(1), F.size(tokens) - k + 1), lambda i: F.array_join(F.slice(tokens, i, k), " "))).otherwise(F.array().cast("array<string>"))
+
+    def runs(t: Column) -> Column:
+        return F.when(F.size(t) >= k, F.transform(F.sequence(F.lit(1), F.size(t) - k + 1), lambda i: F.array_join(F.slice(t, i, k), " "))).otherwise(F.array().cast("array<string>"))
+
+    # as a lambda's variable the tokens are worked out once, not for each run
+    return F.element_at(F.transform(F.array(tokens), runs), 1)
 
 
 def shingles(text: Column, width: int = 8) -> Column:
