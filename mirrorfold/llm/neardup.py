@@ -25,6 +25,7 @@ from mirrorfold.llm.tokens import arrow
 
 BINS, ROWS = 128, 4  # bins of the signature; rows of a band
 PERCENT, WORDS, KIN = 80, 5, 40
+MEETINGS = 3  # buckets that nodes of different families share before they are compared
 BLOCK = 1024  # nodes of a family that meet as many others at once
 BROADCAST = 500_000  # ids that go to every task at most (8 bytes each); more go by a shuffle
 
@@ -188,9 +189,14 @@ def groups(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataF
     torn = here.groupBy("key", "kin").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "kin")).alias("x"), F.count("*").alias("kins"), F.sum("m").alias("m")).where("kins > 1 AND m > 2").select("key", F.col("x.kin").alias("largest"))
     torn = here.join(torn, "key").join(far, ["node", "centre"], "left")
     torn = cut(torn.withColumn("far", F.when(F.col("node") == F.col("centre"), F.lit(0.0)).otherwise(F.col("far"))).where("node <> centre"))
-    a, b = torn.where("kin <> largest").alias("a"), torn.alias("b")
+    # a stranger meets a family only if it shares MEETINGS buckets with it: linked sets share 13 of 32 bands on average
+    strange = torn.where("kin <> largest").select("key", "node", "kin", "n", "far", "largest")
+    other = torn.select(F.col("key").alias("key_"), F.col("kin").alias("met")).distinct()
+    meets = strange.join(other, (F.col("key") == F.col("key_")) & (F.col("kin") != F.col("met"))).drop("key_")
+    often = meets.groupBy("node", "met").agg(F.count("*").alias("times")).where(F.col("times") >= MEETINGS).select("node", "met")
+    a, b = meets.join(often, ["node", "met"]).alias("a"), torn.alias("b")
     apart = F.coalesce(F.abs(F.col("a.far") - F.col("b.far")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    across = (F.col("a.key") == F.col("b.key")) & (F.col("a.kin") != F.col("b.kin")) & ((F.col("b.kin") == F.col("b.largest")) | (F.col("a.node") < F.col("b.node"))) & near(F.col("a.n"), F.col("b.n")) & apart
+    across = (F.col("a.key") == F.col("b.key")) & (F.col("a.met") == F.col("b.kin")) & ((F.col("b.kin") == F.col("b.largest")) | (F.col("a.node") < F.col("b.node"))) & near(F.col("a.n"), F.col("b.n")) & apart
     rest = cut(a.join(b, across).select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct())
     if not rest.isEmpty():
         more = more.unionByName(linked(measure(rest), percent))
