@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mirrorfold.functions import scalars as S
 
@@ -19,19 +21,18 @@ def by_slots(grams: DataFrame, slots: int) -> DataFrame:
     return mins.select("file_id", F.posexplode(F.array(*(f"s{k}" for k in range(slots)))).alias("slot", "value")).select("file_id", F.col("slot").cast("long").alias("slot"), "value")
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _all_slots(hashes: pd.Series) -> pd.Series:
-    import numpy as np
-
-    k = np.arange(S.SLOTS, dtype=np.int64)
-    a, b = k * 2654435 + 97, k * 40503 + 11
-    return hashes.map(lambda h: np.full(S.SLOTS, EMPTY) if not len(h) else ((np.asarray(h, np.int64)[:, None] * a + b) % S.PRIME).min(axis=0))
-
-
 def full_signatures(files_: DataFrame) -> DataFrame:
     """file_id, signature of 128 slots over word 5-grams, vectorised in Arrow batches."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        k = np.arange(S.SLOTS, dtype=np.int64)
+        a, b = k * 2654435 + 97, k * 40503 + 11
+        for batch in batches:
+            made = [np.full(S.SLOTS, EMPTY) if not len(h) else ((np.asarray(h, np.int64)[:, None] * a + b) % S.PRIME).min(axis=0) for h in batch["hashes"]]
+            yield pd.DataFrame({"file_id": batch["file_id"], "signature": made})
+
     grams = F.transform(F.array_distinct(S.kgrams(S.words(F.col("text")))), S.h28)
-    return files_.select("file_id", _all_slots(grams).alias("signature"))
+    return files_.select("file_id", grams.alias("hashes")).mapInPandas(make, "file_id long, signature array<long>")
 
 
 def bands(signatures: DataFrame, slots: int, rows: int) -> DataFrame:
