@@ -14,16 +14,17 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from mirrorfold.llm.common import cut, need, remainder, scratch, table
+from mirrorfold.llm.common import need, remainder, scratch, table
 from mirrorfold.llm.tokens import arrow, rows
 
 STATES, CLASSES, ROUNDS = 4, 8192, 4
 UNKNOWN, END = 0, 1  # the first two classes
 ADD = 0.1  # to every count
 PRIOR = 1000  # tokens by the corpus shares that each state counts besides its own
-CHUNK = 16 << 20  # bytes of text
-TOKENS = 1 << 20  # that one batch of recursions takes at most, or one document
+CHUNK = 12 << 20  # bytes of text
+TOKENS = 1 << 18  # that one batch of recursions takes at most, or one document
 
 
 def class_of(word: bytes) -> int:
@@ -37,7 +38,7 @@ def chunks(docs: DataFrame, modulus: int) -> DataFrame:
     import pyarrow as pa
 
     ints = pa.list_(pa.int64())
-    schema = pa.schema([("chunk", pa.string()), ("doc_ids", ints), ("lengths", ints), ("ids", pa.binary()), ("word", pa.binary()), ("local", pa.int32()), ("class", pa.int32()), ("c", pa.int64())])
+    schema = pa.schema([("chunk", pa.int64()), ("doc_ids", ints), ("lengths", ints), ("ids", pa.binary()), ("word", pa.binary()), ("local", pa.int32()), ("class", pa.int32()), ("c", pa.int64())])
 
     def make(batches) -> Iterator:
         import zstandard
@@ -50,12 +51,12 @@ def chunks(docs: DataFrame, modulus: int) -> DataFrame:
             flat = np.concatenate(ids)
             taught = np.concatenate([x for x, t in zip(ids, train, strict=True) if t] or [np.zeros(0, np.uint32)])
             counts = np.bincount(taught, minlength=len(held))
-            name, words = f"{task}-{made}", list(held)
+            name, words = task << 32 | made, list(held)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([name], [doc_ids], [lengths], [zstandard.compress(flat.tobytes(), 1)], [None], [None], [None], [None]), schema.types, strict=True)], schema=schema)
             for at in range(0, len(words), 50_000):
                 some = words[at : at + 50_000]
                 n = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.nulls(n, ints), pa.nulls(n, ints), pa.nulls(n, pa.binary()), pa.array(some, pa.binary()), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(list(map(class_of, some)), pa.int32()), pa.array(counts[at : at + n], pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.nulls(n, ints), pa.nulls(n, ints), pa.nulls(n, pa.binary()), pa.array(some, pa.binary()), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(list(map(class_of, some)), pa.int32()), pa.array(counts[at : at + n], pa.int64())], schema=schema)
 
         for doc_id, text in rows(batches, "doc_id", "text"):
             words = (text or b"").lower().split()
@@ -73,10 +74,10 @@ def chunks(docs: DataFrame, modulus: int) -> DataFrame:
         if doc_ids:
             yield from flush()
 
-    return need(docs, "doc_id", "text").withColumn("text", F.col("text").cast("binary")).mapInArrow(make, "chunk string, doc_ids array<long>, lengths array<long>, ids binary, word binary, local int, class int, c long")
+    return need(docs, "doc_id", "text").withColumn("text", F.col("text").cast("binary")).mapInArrow(make, "chunk long, doc_ids array<long>, lengths array<long>, ids binary, word binary, local int, class int, c long")
 
 
-def classed(docs: DataFrame, words: DataFrame, counts: DataFrame, n: int, v: int, shares: np.ndarray) -> DataFrame:
+def classed(docs: DataFrame, told: DataFrame, n: int, v: int, shares: np.ndarray) -> DataFrame:
     """Chunks with classes for words: doc_ids, lengths, classes (bytes), and each document's known, base and rest.
 
     rest: log10 of the words' shares within their classes.
@@ -103,8 +104,7 @@ def classed(docs: DataFrame, words: DataFrame, counts: DataFrame, n: int, v: int
             out.append((doc_ids, lengths, zstandard.compress(kinds[flat].astype(np.uint16).tobytes(), 1), np.add.reduceat((c > 0)[flat].astype(np.int64), firsts), np.add.reduceat(base[flat], firsts), np.add.reduceat((base - log_shares[kinds])[flat], firsts)))
         return pa.Table.from_batches(list(arrow(out, schema)), schema)
 
-    told = words.join(counts, "word").select("chunk", "local", "class", "total")
-    return docs.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(make, "doc_ids array<long>, lengths array<long>, classes binary, known array<long>, base array<double>, rest array<double>")
+    return docs.groupBy("chunk").cogroup(told.select("chunk", "local", "class", "total").groupBy("chunk")).applyInArrow(make, "doc_ids array<long>, lengths array<long>, classes binary, known array<long>, base array<double>, rest array<double>")
 
 
 def batches_of(lengths: np.ndarray, chosen: np.ndarray) -> Iterator[np.ndarray]:
@@ -238,14 +238,18 @@ def scored(docs: DataFrame, modulus: int = 10, states: int = STATES, rounds: int
     chunks(docs, modulus).write.parquet(f"{folder}/chunks")
     words = spark.read.parquet(f"{folder}/chunks").where("local IS NOT NULL").select("chunk", "local", "class", "word", "c")
     held = spark.read.parquet(f"{folder}/chunks").where("local IS NULL").select("chunk", "doc_ids", "lengths", "ids")
-    counts = cut(words.groupBy("word", "class").agg(F.sum("c").alias("total")))
-    n, v = counts.where("total > 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
+    # one shuffle by word: a word has a row for each chunk at most, and its first row stands for it
+    of = Window.partitionBy("word")
+    words.select("chunk", "local", "class", F.sum("c").over(of).alias("total"), (F.row_number().over(of.orderBy("chunk")) == 1).alias("first")).write.parquet(f"{folder}/told")
+    told = spark.read.parquet(f"{folder}/told")
+    known = told.where("first AND total > 0")
+    n, v = known.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
     shares = np.zeros(CLASSES)
-    for r in counts.where("total > 0").groupBy("class").agg(F.sum("total").alias("c"), F.count("*").alias("v")).collect():  # a row a class
+    for r in known.groupBy("class").agg(F.sum("total").alias("c"), F.count("*").alias("v")).collect():  # a row a class
         shares[r["class"]] = (r["c"] + ADD * r["v"]) / (n + ADD * (v + 1))
     shares[UNKNOWN] = ADD / (n + ADD * (v + 1))
     shares = np.maximum(shares, 1e-300)
-    classed(held, words, counts.select("word", "total"), n, v, shares).write.parquet(f"{folder}/classed")
+    classed(held, told, n, v, shares).write.parquet(f"{folder}/classed")
     kept = spark.read.parquet(f"{folder}/classed")
     model = train(kept, shares, modulus, states, rounds)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
