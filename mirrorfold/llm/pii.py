@@ -113,10 +113,9 @@ def surrogate(kind: Column, e: Column, same: Column, draw: Column) -> Column:
     more = F.when(draw > 2, F.pmod(number(hexes, F.lit(40), 6), F.lit(1_000_000)).cast("string")).otherwise(F.lit(""))
     mail = F.concat(reshaped(local, hexes, no), more, F.lit("@"), reshaped(head, digest(F.lit("domain"), F.lower(domain)), no), F.lit("."), top)
     octets = F.transform(F.split(e, r"\."), lambda o, at: F.when(F.length(o) == 1, F.pmod(number(hexes, at), F.lit(10))).when(F.length(o) == 2, F.pmod(number(hexes, at), F.lit(90)) + 10).otherwise(F.pmod(number(hexes, at), F.lit(156)) + 100).cast("string"))
-    code = F.regexp_extract(e, r"^(\+\d{1,3})?", 0)
     # signs are set where the mention has them, digits follow their order in the canonical form
     signs = lambda digits: F.array_join(F.transform(F.filter(F.split(e, ""), lambda c: c != ""), lambda c, at: F.when(c.rlike("[A-Za-z0-9]"), F.substr(digits, F.length(F.regexp_replace(F.substr(e, F.lit(1), at + 1), "[^A-Za-z0-9]", "")), F.lit(1))).otherwise(c)), "")
-    fixed = F.when(kind == "phone", F.length(code) - F.least(F.lit(1), F.length(code))).when(kind == "account", F.lit(2)).when(kind == "card", F.lit(1)).otherwise(F.lit(0))
+    fixed = F.when(kind.isin("phone", "card"), F.lit(1)).when(kind == "account", F.lit(2)).otherwise(F.lit(0))
     body = F.concat(F.substr(same, F.lit(1), fixed), reshaped(F.substr(same, fixed + 1, F.length(same)), hexes, no))
     base = F.substr(body, F.lit(1), F.length(body) - 1)
     checked = F.concat(base, F.pmod(10 - luhn(F.concat(base, F.lit("0"))), F.lit(10)).cast("string"))
