@@ -49,5 +49,6 @@ def incremental_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def debounced(stream: DataFrame, quiet: str = "250 milliseconds", late: str = "2 seconds") -> DataFrame:
-    """Structured Streaming: (ts, path) -> flushes of distinct, sorted paths after each quiet gap."""
-    return stream.withWatermark("ts", late).groupBy(F.session_window("ts", quiet).alias("w")).agg(F.sort_array(F.collect_set("path")).alias("paths")).select("w.start", "w.end", "paths")
+    """Structured Streaming: (ts, root, path) -> flushes of a root's distinct, sorted paths after each quiet gap."""
+    flushes = stream.withWatermark("ts", late).groupBy(F.session_window("ts", quiet).alias("w"), "root").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+    return flushes.select("root", "w.start", "w.end", "paths")
