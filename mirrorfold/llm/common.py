@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mirrorfold.plans.checkpoints import cut, shared_dir
+
+__all__ = ["cut", "need", "remainder", "remainder_col", "scratch", "shared_dir", "table", "width"]
+
 #: ASCII white space; every word of the contracts is a run of other characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,20 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (local runs)."""
-    sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="mirrorfold-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and forget the lineage; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh folder below the shared one."""
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"

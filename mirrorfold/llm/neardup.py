@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrorfold.llm.common import cut, need, table
-from mirrorfold.llm.components import components
 from mirrorfold.llm.shingles import mixed, shingle_sets
 from mirrorfold.llm.tokens import arrow
+from mirrorfold.operators.closure import components
 
 BINS, ROWS = 128, 4  # bins of the signature; rows of a band
 PERCENT, WORDS, KIN = 80, 5, 40
