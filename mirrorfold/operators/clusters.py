@@ -99,3 +99,31 @@ def clone_groups(component: list[int], relation) -> list[tuple[list[int], str]]:
 
 def with_severity(clusters: DataFrame) -> DataFrame:
     return clusters.withColumn("severity", S.severity(F.col("mass")))
+
+
+def families(occurrences: DataFrame) -> DataFrame:
+    """(component, file_id, shape) -> component, shape, copies: families of one shape, of components that hold two or more such."""
+    made = occurrences.groupBy("component", "shape").agg(F.count("*").alias("copies")).where("copies >= 2")
+    torn = made.groupBy("component").agg(F.count("*").alias("n_")).where("n_ >= 2").select("component")
+    return made.join(torn, "component", "left_semi")
+
+
+def containers(spans: DataFrame, least: int = 2, share: float = 2 / 3) -> DataFrame:
+    """(component, file_id, start, end) -> members that hold `least` others of their component, which cover `share` of them."""
+    a, b = spans.alias("a"), spans.alias("b")
+    inside = (F.col("a.component") == F.col("b.component")) & (F.col("a.file_id") == F.col("b.file_id")) & S.strictly_encloses(F.col("a.start"), F.col("a.end"), F.col("b.start"), F.col("b.end"))
+    held = a.join(b, inside).groupBy("a.component", "a.file_id", "a.start", "a.end").agg(F.count("*").alias("held"), F.sum(F.col("b.end") - F.col("b.start")).alias("covered"))
+    return held.where((F.col("held") >= least) & (F.col("covered") >= share * (F.col("end") - F.col("start"))))
+
+
+def coalesced(views: DataFrame) -> DataFrame:
+    """(left_file, right_file, left_start, left_end, shift) -> runs of one shift that overlap or touch, joined into their union.
+
+    A copied run keeps its distance between the two files, so a run's windows share their shift.
+    """
+    group = ("left_file", "right_file", "shift")
+    order = Window.partitionBy(*group).orderBy("left_start", F.desc("left_end"))
+    frontier = F.max("left_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = views.withColumn("new_", F.when(frontier.isNull() | (F.col("left_start") > frontier), 1).otherwise(0))
+    runs = runs.withColumn("run", F.sum("new_").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return runs.groupBy(*group, "run").agg(F.min("left_start").alias("left_start"), F.max("left_end").alias("left_end"), F.count("*").alias("views")).drop("run")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mirrorfold.functions import scalars as S
-from mirrorfold.operators import admission, candidates, clusters, closure, exclusions, fingerprints, literals, measures, metrics, reports, signatures
+from mirrorfold.operators import admission, candidates, clusters, closure, exclusions, fingerprints, literals, measures, metrics, noise, reports, signatures
 from mirrorfold.streaming import changes
 
 MIN_LINE = 8  # nodes of a line that counts as evidence
@@ -616,3 +616,101 @@ def stage_ledger(spark, d):
 def judged_score(spark, d):
     j = _table(spark, d, "labels").join(_table(spark, d, "documents").select("doc_id", "source"), "doc_id")
     return j.groupBy("source").agg(F.count("*").alias("judged"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("correct"), F.count_if(F.col("quality") == 0).alias("missed"))
+
+
+# --- Further views of the same clusters ---
+
+
+@query(f"WITH {WINDOWS}, m AS (SELECT file_id % 10 AS component, file_id, hash AS shape FROM windows WHERE width = 2), f AS (SELECT component, shape, count(*) AS copies FROM m GROUP BY ALL HAVING count(*) >= 2) SELECT * FROM f WHERE component IN (SELECT component FROM f GROUP BY component HAVING count(*) >= 2)")
+def family_split(spark, d):
+    w = fingerprints.sibling_windows(_lines(spark, d)).where("width = 2")
+    return clusters.families(w.select((F.col("file_id") % 10).alias("component"), "file_id", F.col("hash").alias("shape")))
+
+
+@query(f"""WITH {WINDOWS}, s AS (SELECT width % 2 AS component, file_id, start, "end" FROM windows WHERE file_id < 60)
+SELECT a.component, a.file_id, a.start, a."end", count(*) AS held, sum(b."end" - b.start)::BIGINT AS covered FROM s a JOIN s b ON a.component = b.component AND a.file_id = b.file_id AND a.start <= b.start AND b."end" <= a."end" AND (a.start < b.start OR b."end" < a."end")
+GROUP BY ALL HAVING count(*) >= 2 AND sum(b."end" - b.start) >= 2 / 3 * (a."end" - a.start)""")
+def container_election(spark, d):
+    w = fingerprints.sibling_windows(_lines(spark, d)).where("file_id < 60")
+    return clusters.containers(w.select((F.col("width") % 2).alias("component"), "file_id", "start", "end"))
+
+
+@query(f"""WITH {LINES}, c AS (SELECT hash, min(file_id) AS l FROM lines WHERE nodes >= 8 GROUP BY hash HAVING count(DISTINCT file_id) > 1),
+v AS (SELECT a.file_id AS left_file, b.file_id AS right_file, a.ordinal AS s, b.ordinal - a.ordinal AS shift FROM c JOIN lines a ON a.hash = c.hash AND a.file_id = c.l JOIN lines b ON b.hash = c.hash AND b.file_id <> c.l),
+g AS (SELECT *, max(s + 1) OVER (PARTITION BY left_file, right_file, shift ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fr FROM v),
+r AS (SELECT *, sum(CASE WHEN fr IS NULL OR s > fr THEN 1 ELSE 0 END) OVER (PARTITION BY left_file, right_file, shift ORDER BY s ROWS UNBOUNDED PRECEDING) AS run FROM g)
+SELECT left_file, right_file, shift::BIGINT AS shift, min(s)::BIGINT AS left_start, max(s + 1)::BIGINT AS left_end, count(*) AS views FROM r GROUP BY left_file, right_file, shift, run""")
+def copied_run_coalesce(spark, d):
+    lines = _lines(spark, d).where(F.col("nodes") >= MIN_LINE).select("file_id", "ordinal", "hash")
+    centre = lines.groupBy("hash").agg(F.min("file_id").alias("l"), F.countDistinct("file_id").alias("n")).where("n > 1").drop("n")
+    b = lines.join(centre, "hash")
+    left = b.where("file_id = l").select("hash", F.col("file_id").alias("left_file"), F.col("ordinal").alias("left_start"))
+    views = left.join(b.where("file_id <> l").select("hash", F.col("file_id").alias("right_file"), F.col("ordinal").alias("at")), "hash")
+    return clusters.coalesced(views.select("left_file", "right_file", (F.col("at") - F.col("left_start")).alias("shift"), "left_start", (F.col("left_start") + 1).alias("left_end")))
+
+
+@query(f"""WITH {PAIRS} SELECT "left", "right", CASE WHEN a.text = b.text THEN 'identical' WHEN regexp_replace(a.text, '[ \\n\\t\\r]+', '', 'g') = regexp_replace(b.text, '[ \\n\\t\\r]+', '', 'g') THEN 'indentation_only' ELSE 'different' END AS identity
+FROM pairs JOIN files a ON a.file_id = "left" JOIN files b ON b.file_id = "right" """)
+def text_identity(spark, d):
+    f = _files(spark, d)
+    a, b = f.select(F.col("file_id").alias("left"), F.col("text").alias("x")), f.select(F.col("file_id").alias("right"), F.col("text").alias("y"))
+    return _pairs(spark, d).join(a, "left").join(b, "right").select("left", "right", admission.text_identity(F.col("x"), F.col("y")).alias("identity"))
+
+
+@query(rf"""WITH {PAIRS}, t AS (SELECT file_id, list_distinct(regexp_extract_all(text, '[^ \n\t\r]+')) AS w FROM files)
+SELECT "left", "right", round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS jaccard FROM pairs JOIN t a ON a.file_id = "left" JOIN t b ON b.file_id = "right" """)
+def key_set_jaccard(spark, d):
+    return measures.on_pairs(_files(spark, d), _pairs(spark, d)).select("left", "right", F.round(S.set_jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
+
+
+@query(f"WITH {LINES}, b AS (SELECT hash, language, count(DISTINCT file_id) AS n FROM lines JOIN files USING (file_id) WHERE length(line) > 0 GROUP BY ALL HAVING count(DISTINCT file_id) >= 2) SELECT language, count(*) AS hints, sum(n)::BIGINT AS places FROM b GROUP BY language")
+def boilerplate_hints(spark, d):
+    lines = _lines(spark, d).join(_files(spark, d).select("file_id", "language"), "file_id").where(F.length("line") > 0)
+    return lines.groupBy("hash", "language").agg(F.countDistinct("file_id").alias("n")).where("n >= 2").groupBy("language").agg(F.count("*").alias("hints"), F.sum("n").alias("places"))
+
+
+@query(f"WITH {OCC} SELECT cluster_id, rank, mass::BIGINT AS mass FROM occ JOIN clusters USING (component) WHERE path LIKE 'src1/%'")
+def report_for_file(spark, d):
+    o = _occurrences(spark, d).where(F.col("path").startswith("src1/"))
+    return o.select("component").join(_clusters(spark, d), "component").select("cluster_id", "rank", "mass")
+
+
+@query(f"WITH {OCC} SELECT cluster_id, kind, copies FROM clusters WHERE cluster_id LIKE (SELECT min(cluster_id)[1:7] FROM clusters) || '%'")
+def cluster_by_prefix(spark, d):
+    made = _clusters(spark, d)
+    least = made.agg(F.substring(F.min("cluster_id"), 1, reports.PREFIX).alias("prefix")).first()["prefix"] or "0" * reports.PREFIX
+    return reports.by_prefix(made, least).select("cluster_id", "kind", "copies")
+
+
+@query(f"WITH {OCC}, i AS (SELECT cluster_id, bool_or(file_id % 3 = 0 AND NOT hidden) AS hit FROM occ JOIN clusters USING (component) GROUP BY ALL) SELECT cluster_id, row_number() OVER (ORDER BY mass DESC, cluster_id) AS rank FROM clusters JOIN i USING (cluster_id) WHERE hit")
+def only_changed(spark, d):
+    hit = _occurrences(spark, d).where("file_id % 3 = 0 AND NOT hidden").select("component")
+    return clusters.ranked(_clusters(spark, d).drop("rank").join(hit, "component", "left_semi"), F.lit(True)).select("cluster_id", "rank")
+
+
+@query(f"WITH {OCC}, spending AS (SELECT cluster_id, rank, sum(copies) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING)::BIGINT AS spent FROM clusters) SELECT * FROM spending WHERE spent <= 40")
+def occurrence_budget(spark, d):
+    return _clusters(spark, d).select("cluster_id", "rank", F.sum("copies").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("spent")).where("spent <= 40")
+
+
+@query(f"WITH {OCC}, h AS (SELECT DISTINCT text_hash FROM occ WHERE component = (SELECT min(component) FROM clusters)) SELECT file_id, path FROM files WHERE md5(text) IN (SELECT text_hash FROM h) AND file_id <> (SELECT min(component) FROM clusters)")
+def existing_places(spark, d):
+    o = _occurrences(spark, d)
+    first = o.agg(F.min("component").alias("component"))
+    probe = o.join(F.broadcast(first), "component").select("text_hash").distinct()
+    f = _files(spark, d).withColumn("text_hash", F.md5("text"))
+    return f.join(probe, "text_hash", "left_semi").join(F.broadcast(first), F.col("file_id") == F.col("component"), "left_anti").select("file_id", "path")
+
+
+@query(f'WITH {SCORED} SELECT "left", "right", structural, token_jaccard, embedding_cos, fused, small, large FROM fusedp WHERE "left" = (SELECT min("left") FROM fusedp)')
+def compare_pair(spark, d):
+    s = _scored(spark, d)
+    one = s.agg(F.min("left").alias("l"))
+    return s.join(F.broadcast(one), F.col("left") == F.col("l")).drop("l").withColumn("fused", S.fused(F.col("structural"), F.col("token_jaccard"), F.col("embedding_cos")))
+
+
+@query(r"""WITH RECURSIVE """ + OCC.removeprefix("RECURSIVE ") + r""", m AS (SELECT component, regexp_replace(array_to_string(list_transform(regexp_extract_all(text, '[^ \n\t\r]+'), lambda w: CASE WHEN regexp_matches(w, '^["''(]*[-+]?[0-9][0-9.,_]*["'')%;,]*$') THEN '#' ELSE w END), ' '), '', '') AS shape,
+array_to_string(regexp_extract_all(text, '[^ \n\t\r]+'), ' ') AS txt FROM occ JOIN files USING (file_id)) SELECT component, count(DISTINCT txt) AS texts FROM m GROUP BY component HAVING count(DISTINCT shape) = 1 AND count(DISTINCT txt) > 1""")
+def noise_literal_variation(spark, d):
+    o = _occurrences(spark, d).select("component", "file_id").join(_files(spark, d), "file_id")
+    return noise.literal_variation(o.select("component", "file_id", S.words(F.col("text")).alias("words")))
