@@ -34,18 +34,20 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERN = "|".join(
     (
         r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}",  # mail
-        r"(?<=(?i:token|secret|password|passwd|api_key|apikey|access_key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_-]{8,128}",  # secret that is named
+        r"(?<=[=:\"'\s])(?<=[=:]\s{0,3}[\"']?)(?<=(?i:token|secret|password|passwd|api_key|apikey|access_key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_-]{8,128}",  # secret that is named
         r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36})(?![\p{L}\p{N}])",  # secret by its form
         r"(?<![\d.])" + _OCTET + r"(?:\." + _OCTET + r"){3}(?!\d|\.\d)",  # internet address
         r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",  # social security number
         r"(?<![\p{L}\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})|\(\d{3}\))[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)",  # phone
         r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",  # bank account
         r"(?<![\d.])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?!\d)",  # card
-        r"(?<=(?<!\p{L})(?:" + _TITLE + r")\.? )" + _NAME + r"(?: " + _NAME + r")?",  # person
+        r"(?=\p{Lu})(?<= )(?<=(?<!\p{L})(?:" + _TITLE + r")\.? )" + _NAME + r"(?: " + _NAME + r")?",  # person
     )
 )
-#: What every entity has somewhere before or in it; texts without it are left alone at once.
-HINT = r"[0-9@=:]|(?:" + _TITLE + r")\.? \p{Lu}"
+#: What every entity has somewhere before or in it; texts without it are left alone at once. One look at a
+#: character passes over most places.
+_FIRST = "".join(dict.fromkeys(t[0] for t in (*MEN, *WOMEN)))
+HINT = r"[0-9@]|[" + _FIRST + r"](?:" + "|".join(dict.fromkeys(t[1:] for t in (*MEN, *WOMEN))) + r")\.? \p{Lu}|[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8}|AKIA|ghp_"
 
 
 def kind_of(e: Column) -> Column:
