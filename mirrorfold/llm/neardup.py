@@ -5,11 +5,10 @@ there; an empty bin borrows from the first filled one along a fixed random order
 signature are bucket keys. Equal sets are one node from the start. A bucket emits a star: an edge from
 each node to its least; edges are measured on the full sets, and the near ones link.
 
-A star can miss a link between two of its leaves. So leaves that stay in different groups are looked at
-again, with no pair written out. The star's measured edges also tell families (at least KIN percent alike);
-within a family that is still in parts, the smaller parts meet the whole, block against block, and only
-links come out. Leaves of different families meet in their buckets, unless their distances to the bucket's
-centre differ by more than a link's: distances of sets obey the triangle inequality, so none is lost.
+A star can miss a link between two of its leaves. So the star's measured edges also tell families, whose
+members are KIN percent alike with a centre; within a family that is still in parts, the smaller parts meet
+the whole, block against block, and only links come out. Two linked sets are left in different families
+only if every bucket that they share has a centre alien to both.
 """
 
 from __future__ import annotations
@@ -25,7 +24,6 @@ from mirrorfold.operators.closure import components
 
 BINS, ROWS = 128, 4  # bins of the signature; rows of a band
 PERCENT, WORDS, KIN = 80, 5, 40
-MEETINGS = 3  # buckets that nodes of different families share before they are compared
 BLOCK = 1024  # nodes of a family that meet as many others at once
 BROADCAST = 500_000  # ids that go to every task at most (8 bytes each); more go by a shuffle
 
@@ -165,9 +163,9 @@ def groups(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataF
     nodes = cut(real.groupBy("fp").agg(least).select("fp", "x.*", F.monotonically_increasing_id().alias("node")))
     bands = nodes.select("node", "n", F.explode("keys").alias("key"))
     heads = bands.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("nodes")).where("nodes > 1").select("key", "head")
-    shared = cut(bands.join(heads, "key").select("key", "node", "n", F.col("head.node").alias("centre"), F.col("head.n").alias("centre_n")))
-    near = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)  # noqa: E731  sizes that can still reach it
-    star = cut(shared.where((F.col("node") != F.col("centre")) & near(F.col("n"), F.col("centre_n"))).select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct())
+    shared = bands.join(heads, "key").select("node", "n", F.col("head.node").alias("centre"), F.col("head.n").alias("centre_n"))
+    kin_sizes = 100 * F.least("n", "centre_n") >= KIN * F.greatest("n", "centre_n")  # others are no kin
+    star = cut(shared.where((F.col("node") != F.col("centre")) & kin_sizes).select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct())
 
     def measure(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
@@ -183,23 +181,6 @@ def groups(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataF
     kin = cut(kin.join(roots, "node", "left").select("node", "kin", F.coalesce("root", "node").alias("root")))
     more = cut(across_parts(nodes.select("node", "doc_id", "fp").join(kin, "node"), docs, width, percent))
 
-    own = lambda x: F.coalesce(x, "node").alias(x)
-    far = star.select(F.col("u").alias("node"), F.col("v").alias("centre"), (1 - F.col("same") / F.col("all")).alias("far"))
-    here = shared.join(kin, "node", "left").select("key", "node", "centre", "n", own("root"), own("kin"))
-    torn = here.groupBy("key", "kin").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "kin")).alias("x"), F.count("*").alias("kins"), F.sum("m").alias("m")).where("kins > 1 AND m > 2").select("key", F.col("x.kin").alias("largest"))
-    torn = here.join(torn, "key").join(far, ["node", "centre"], "left")
-    torn = cut(torn.withColumn("far", F.when(F.col("node") == F.col("centre"), F.lit(0.0)).otherwise(F.col("far"))).where("node <> centre"))
-    # a stranger meets a family only if it shares MEETINGS buckets with it: linked sets share 13 of 32 bands on average
-    strange = torn.where("kin <> largest").select("key", "node", "kin", "n", "far", "largest")
-    other = torn.select(F.col("key").alias("key_"), F.col("kin").alias("met")).distinct()
-    meets = strange.join(other, (F.col("key") == F.col("key_")) & (F.col("kin") != F.col("met"))).drop("key_")
-    often = meets.groupBy("node", "met").agg(F.count("*").alias("times")).where(F.col("times") >= MEETINGS).select("node", "met")
-    a, b = meets.join(often, ["node", "met"]).alias("a"), torn.alias("b")
-    apart = F.coalesce(F.abs(F.col("a.far") - F.col("b.far")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    across = (F.col("a.key") == F.col("b.key")) & (F.col("a.met") == F.col("b.kin")) & ((F.col("b.kin") == F.col("b.largest")) | (F.col("a.node") < F.col("b.node"))) & near(F.col("a.n"), F.col("b.n")) & apart
-    rest = cut(a.join(b, across).select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct())
-    if not rest.isEmpty():
-        more = more.unionByName(linked(measure(rest), percent))
     if not more.isEmpty():
         roots = cut(components(links.unionByName(more)))
 
