@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from mirrorfold.plans.checkpoints import cut
 
 
-def _settled(edges: DataFrame) -> tuple[DataFrame, int, int]:
-    made = cut(edges.where("u <> v").distinct())
+TOGETHER = 100_000  # edges a task; rounds over few edges leave few files
+
+
+def _settled(edges: DataFrame, n: int | None = None) -> tuple[DataFrame, int, int]:
+    made = edges.where("u <> v").distinct()
+    made = cut(made if n is None else made.coalesce(1 + n // TOGETHER))
     n, check = made.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
     return made, n, check or 0
 
@@ -28,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = down(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        new, n_new, check_new = _settled(small)
+        new, n_new, check_new = _settled(small, n)
         if (n_new, check_new) == (n, check):
             break
         now, n, check = new, n_new, check_new
