@@ -17,7 +17,9 @@ from mirrorfold.llm.common import cut, need, table
 
 KEY = "mirrorfold-surrogates"
 HANDED = 10_000  # redrawn entities that go to every task at most; more are joined
-DRAWS = 12
+WIDER = 2  # draws after which a surrogate may take another form, where its own has too few
+SYLLABLES_MORE = 4  # a family name has three syllables and one more with each draw, up to so many
+ROUNDS = 200  # a clash that is left then has no free surrogate of its form: an error, never a silent clash
 
 MEN, WOMEN = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"), ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа")
 GIVEN = {
@@ -98,12 +100,13 @@ def luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(values, F.lit(0), lambda a, x: a + x), F.lit(10))
 
 
-def name_like(e: Column, gender: Column, hexes: Column) -> Column:
-    """A name of the same gender, script and number of parts."""
+def name_like(e: Column, gender: Column, hexes: Column, draw: Column) -> Column:
+    """A name of the same gender, script and number of parts; the family's is longer with each draw, so that there are enough."""
     pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), F.pmod(number(hexes, F.lit(at)), F.lit(len(names))) + 1)
     cyrillic = e.rlike(r"\p{IsCyrillic}")
     given = F.when(cyrillic, F.when(gender == "f", pick(GIVEN["fc"], 1)).otherwise(pick(GIVEN["mc"], 1))).when(gender == "f", pick(GIVEN["f"], 1)).otherwise(pick(GIVEN["m"], 1))
-    family = F.initcap(F.concat(*(F.when(cyrillic, pick(SYLLABLES["c"], at)).otherwise(pick(SYLLABLES["l"], at)) for at in (5, 9, 13))))
+    syllable = lambda at: F.when(cyrillic, pick(SYLLABLES["c"], at)).otherwise(pick(SYLLABLES["l"], at))
+    family = F.initcap(F.concat(*(syllable(at) for at in (5, 9, 13)), *(F.when(draw > k, syllable(17 + 4 * k)).otherwise(F.lit("")) for k in range(SYLLABLES_MORE))))
     return F.when(e.contains(" "), F.concat_ws(" ", given, family)).otherwise(family)
 
 
@@ -112,9 +115,9 @@ def surrogate(kind: Column, e: Column, same: Column, draw: Column) -> Column:
     hexes, yes, no = digest(kind, same, draw.cast("string")), F.lit(True), F.lit(False)
     local, domain = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
     head, top = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1), F.substring_index(domain, ".", -1)
-    more = F.when(draw > 2, F.pmod(number(hexes, F.lit(40), 6), F.lit(1_000_000)).cast("string")).otherwise(F.lit(""))
+    more = F.when(draw > WIDER, F.pmod(number(hexes, F.lit(40), 6), F.lit(1_000_000)).cast("string")).otherwise(F.lit(""))
     mail = F.concat(reshaped(local, hexes, no), more, F.lit("@"), reshaped(head, digest(F.lit("domain"), F.lower(domain)), no), F.lit("."), top)
-    octets = F.transform(F.split(e, r"\."), lambda o, at: F.when(F.length(o) == 1, F.pmod(number(hexes, at), F.lit(10))).when(F.length(o) == 2, F.pmod(number(hexes, at), F.lit(90)) + 10).otherwise(F.pmod(number(hexes, at), F.lit(156)) + 100).cast("string"))
+    octets = F.transform(F.split(e, r"\."), lambda o, at: F.when(draw > WIDER, F.pmod(number(hexes, at), F.lit(256))).when(F.length(o) == 1, F.pmod(number(hexes, at), F.lit(10))).when(F.length(o) == 2, F.pmod(number(hexes, at), F.lit(90)) + 10).otherwise(F.pmod(number(hexes, at), F.lit(156)) + 100).cast("string"))
     # signs are set where the mention has them, digits follow their order in the canonical form
     signs = lambda digits: F.array_join(F.transform(F.filter(F.split(e, ""), lambda c: c != ""), lambda c, at: F.when(c.rlike("[A-Za-z0-9]"), F.substr(digits, F.length(F.regexp_replace(F.substr(e, F.lit(1), at + 1), "[^A-Za-z0-9]", "")), F.lit(1))).otherwise(c)), "")
     fixed = F.when(kind.isin("phone", "card"), F.lit(1)).when(kind == "account", F.lit(2)).otherwise(F.lit(0))
@@ -124,7 +127,7 @@ def surrogate(kind: Column, e: Column, same: Column, draw: Column) -> Column:
     card = F.when(luhn(same) == 0, checked).otherwise(body)
     made = (
         F.when(kind == "mail", mail).when(kind == "address", F.array_join(octets, ".")).when(kind == "card", signs(card)).when(kind.isin("phone", "account", "number"), signs(body))
-        .when(kind == "person", name_like(e, F.substr(same, F.lit(1), F.lit(1)), hexes)).when(e.rlike("^[0-9A-Fa-f]{32,}$"), reshaped(e, hexes, yes)).otherwise(reshaped(e, hexes, no))
+        .when(kind == "person", name_like(e, F.substr(same, F.lit(1), F.lit(1)), hexes, draw)).when(e.rlike("^[0-9A-Fa-f]{32,}$"), reshaped(e, hexes, yes)).otherwise(F.concat(reshaped(e, hexes, no), more))
     )
     return made
 
@@ -138,13 +141,16 @@ def split_up(docs: DataFrame) -> DataFrame:
 
 
 def redrawn(docs: DataFrame) -> DataFrame:
-    """same (with its kind before it), draw: the entities whose first surrogate meets another's or a real entity."""
+    """same (with its kind before it), draw: the entities whose first surrogate meets another's or a real entity.
+
+    They draw until no two entities of a kind have the same surrogate and none has a real entity's.
+    """
     some = split_up(need(docs, "text")).where(F.col("found").isNotNull()).select(F.explode("found").alias("x")).select("x.kind", "x.same", "x.e")
     real = cut(some.groupBy("kind", "same").agg(F.min("e").alias("e")))
     now = real.withColumn("draw", F.lit(0))
     plain = lambda kind, s: F.when(kind.isin("phone", "card", "account", "number"), F.regexp_replace(F.upper(s), "[^A-Z0-9]", "")).otherwise(F.lower(s))
     originals = real.select("kind", plain(F.col("kind"), F.col("e")).alias("plain")).distinct()
-    for _ in range(DRAWS):
+    for _ in range(ROUNDS):
         drawn = cut(now.withColumn("plain", plain(F.col("kind"), surrogate(F.col("kind"), F.col("e"), F.col("same"), F.col("draw")))))
         first = drawn.groupBy("kind", "plain").agg(F.min("same").alias("first"), F.count("*").alias("n")).where("n > 1").select("kind", "plain", "first")
         twice = drawn.join(first, ["kind", "plain"]).where("same <> first").select("kind", "same")
@@ -153,6 +159,8 @@ def redrawn(docs: DataFrame) -> DataFrame:
         if clash.isEmpty():
             break
         now = drawn.join(clash.withColumn("again", F.lit(1)), ["kind", "same"], "left").select("kind", "same", "e", (F.col("draw") + F.coalesce("again", F.lit(0))).alias("draw"))
+    else:
+        raise ValueError(f"after {ROUNDS} draws entities still share surrogates: {[r['kind'] for r in clash.select('kind').distinct().collect()]}")
     return drawn.where("draw > 0").select(F.concat_ws("|", "kind", "same").alias("same"), "draw")
 
 

@@ -152,6 +152,19 @@ def test_surrogates_stay_distinct(spark):
     assert len({re.search(r"\S+@", t).group() for t in got}) == 26 and not {t.split()[1] for t in got} & {f"{chr(97 + k)}@x.de" for k in range(26)}
 
 
+def test_surrogates_stay_distinct_where_their_form_has_few(spark):
+    """More names of one part than three syllables give, short addresses, and a secret without letters."""
+    names = ["".join(chr(97 + k // 26**p % 26) for p in range(3)).capitalize() + "x" for k in range(6_000)]
+    real = [f"{'Mr' if k % 2 else 'Frau'} {n}" for k, n in enumerate(names)] + [f"{k // 1000}.{k // 100 % 10}.{k // 10 % 10}.{k % 10}" for k in range(6_000)] + ["password: ________"]
+    docs = spark.createDataFrame([(k, f"to {x} now") for k, x in enumerate(real)], "doc_id long, text string")
+    got = [r["text"].removeprefix("to ").removesuffix(" now") for r in pii.with_surrogates(docs).orderBy("doc_id").collect()]
+    # a person's surrogate is the name alone: people of either title must not share one
+    bare = [x.split(" ", 1)[-1] for x in got]
+    assert len(set(bare)) == len(real) and not set(bare) & {x.split(" ", 1)[-1] for x in real}
+    assert all(re.fullmatch(r"(Mr|Frau) [A-Z][a-z]{1,30}", x) for x in got[:6_000])
+    assert all(re.fullmatch(r"\d+(\.\d+){3}", x) and all(int(o) < 256 for o in x.split(".")) for x in got[6_000:12_000])
+
+
 def test_forward_is_exact():
     draw = np.random.default_rng(1)
     norm = lambda x: x / x.sum(-1, keepdims=True)
