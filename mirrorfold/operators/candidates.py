@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mirrorfold.functions import scalars as S
 
+BLOCK = 4_096  # vectors of a block in an exact search
+
 
 def stars(rows: DataFrame, *key: str, id_: str = "file_id") -> DataFrame:
     """left, right: in each bucket the least id against every other. Linear in the bucket, partial minima."""
@@ -81,22 +85,38 @@ def same_file_valid(windows: DataFrame) -> DataFrame:
     return keyed.join(first, ["file_id", "hash"]).where((F.col("start") > F.col("c.start")) & ~S.overlaps(F.col("start"), F.col("end"), F.col("c.start"), F.col("c.end"))).select("file_id", "hash", "width", F.col("c.start").alias("left_start"), F.col("start").alias("right_start"))
 
 
-def neighbours(vectors: DataFrame, k: int = 5, least: float = S.COSINE, planes: int = 6, tables: int = 8) -> DataFrame:
-    """Approximate nearest neighbours: random hyperplane buckets, exact cosine inside, the k best of each.
+def neighbours(vectors: DataFrame, k: int | None = 5, least: float = S.COSINE) -> DataFrame:
+    """Exact nearest neighbours: blocks of vectors meet block against block, each keeps its k best; all without k.
 
-    query_id, vec_id, cosine, rank; pairs below `least` are dropped.
+    query_id, vec_id, cosine, rank; pairs below `least` are dropped. Vectors of different lengths are not
+    compared. The work is quadratic in the vectors: at cosines this low hyperplane buckets must hold most of
+    all pairs before they find nine in ten neighbours.
     """
-    import random
-
-    draw = random.Random(11)
-    dims = 64
-    dot = lambda plane: F.aggregate(F.zip_with("embedding", F.array(*map(F.lit, plane)), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
-    bit = lambda: (dot([round(draw.gauss(0, 1), 4) for _ in range(dims)]) > 0).cast("int").cast("string")
-    keys = F.array(*(F.concat(F.lit(f"{t}:"), *(bit() for _ in range(planes))) for t in range(tables)))
-    keyed = vectors.where(F.size("embedding") == dims).select("vec_id", "embedding", F.explode(keys).alias("key"))
-    a, b = keyed.select("key", F.col("vec_id").alias("query_id"), F.col("embedding").alias("a")), keyed.select("key", "vec_id", F.col("embedding").alias("b"))
-    pairs = a.join(b, "key").where("query_id <> vec_id").select("query_id", "vec_id", F.round(S.cosine(F.col("a"), F.col("b")), 6).alias("cosine")).where(F.col("cosine") >= least).distinct()
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")).cast("long")).where(F.col("rank") <= k)
+    v = vectors.where(F.size("embedding") > 0).select("vec_id", F.size("embedding").alias("dims"), "embedding").distinct()
+    n = max(1, -(-v.count() // BLOCK))
+    own, met = F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a, b = v.select("*", own.alias("x"), met.alias("y")).groupBy("dims", "x", "y"), v.select("*", met.alias("x"), own.alias("y")).groupBy("dims", "x", "y")
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        made = []
+        if len(a) and len(b):
+            b = b.sort_values("vec_id")
+            unit = lambda f: (m := np.array(f["embedding"].tolist(), dtype=np.float64)) / np.where((norm := np.sqrt((m * m).sum(axis=1))) == 0, 1, norm)[:, None]
+            ids, others, ua, ub = a["vec_id"].to_numpy(), b["vec_id"].to_numpy(), unit(a), unit(b)
+            for at in range(0, len(ids), 256):
+                query = ids[at : at + 256]
+                cosine = np.nan_to_num(np.round(np.clip(ua[at : at + 256] @ ub.T, 0, 1), 6), nan=-1)
+                cosine[query[:, None] == others[None, :]] = -1
+                worst = np.partition(cosine, -k, axis=1)[:, -k] if k and len(others) > k else np.full(len(query), -1.0)
+                row, col = np.nonzero(cosine >= np.maximum(worst, max(least, 0))[:, None])
+                order = np.lexsort((col, -cosine[row, col], row))
+                row, col = row[order], col[order]
+                best = np.arange(len(row)) - np.searchsorted(row, row) < (k or len(others))
+                made.append(pd.DataFrame({"query_id": query[row[best]], "vec_id": others[col[best]], "cosine": cosine[row[best], col[best]]}))
+        return pd.concat(made) if made else pd.DataFrame({"query_id": [], "vec_id": [], "cosine": []})
+
+    pairs = a.cogroup(b).applyInPandas(meet, "query_id long, vec_id long, cosine double").distinct()
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")).cast("long")).where(F.col("rank") <= k if k else F.lit(True))
 
 
 def snippet_fanout(files_: DataFrame) -> DataFrame:

@@ -262,6 +262,21 @@ def embedding_lsh_pairs(spark, d):
     return candidates.neighbours(_table(spark, d, "embeddings"), least=0.2)
 
 
+COSINES = """cosines AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round(least(1, greatest(0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS cosine
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND len(a.embedding) = len(b.embedding))"""
+
+
+@query(f'WITH {COSINES} SELECT query_id AS "left", vec_id AS "right", cosine FROM cosines WHERE query_id < vec_id AND cosine >= 0.8')
+def embedding_exact_pairs(spark, d):
+    near = candidates.neighbours(_table(spark, d, "embeddings"), None).where("query_id < vec_id")
+    return near.select(F.col("query_id").alias("left"), F.col("vec_id").alias("right"), "cosine")
+
+
+@query(f"WITH {COSINES} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM cosines) WHERE rank <= 5")
+def embedding_topk(spark, d):
+    return candidates.neighbours(_table(spark, d, "embeddings"), least=0.0)
+
+
 @query(f"WITH {FILES} SELECT md5(text) AS snippet, min(file_id) AS representative, count(*) AS copies FROM files GROUP BY ALL")
 def snippet_group_fanout(spark, d):
     return candidates.snippet_fanout(_files(spark, d))

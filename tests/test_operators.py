@@ -1,7 +1,9 @@
 """The core operators on small frames: each threshold's two sides, ties, empty and odd cases."""
 
+import collections
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,3 +213,15 @@ def test_debounce_stream(spark, tmp_path):
     q.awaitTermination(60)
     assert sorted(r["paths"] for r in spark.table("flushes").collect()) == [["a", "b"], ["c"]]
     assert math.isfinite(len(spark.table("flushes").collect()))
+
+
+def test_neighbours_are_all_found(spark):
+    """Against brute force, with lengths other than 64; a length is compared with itself alone."""
+    draw = np.random.default_rng(3)
+    vectors = {i: draw.normal(size=16 if i % 3 else 64) for i in range(240)} | {240: np.zeros(64)}
+    got = collections.defaultdict(list)
+    for r in sorted(candidates.neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>"), least=0.2).collect(), key=lambda r: r["rank"]):
+        got[r["query_id"]].append((r["vec_id"], r["cosine"]))
+    for i, v in vectors.items():
+        near = sorted((-round(float(v @ w / (np.linalg.norm(v) * np.linalg.norm(w))), 6), j) for j, w in vectors.items() if j != i and len(w) == len(v) and v.any() and w.any())
+        assert got[i] == [(j, -c) for c, j in near[:5] if -c >= 0.2]
