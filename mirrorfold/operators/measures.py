@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,6 +86,26 @@ def tree_distance(a: list[tuple[str, int]], b: list[tuple[str, int]]) -> int:
     return dist[n - 1][m - 1]
 
 
+def leaf_distance(a: list[str], b: list[str]) -> int:
+    """tree_distance of two roots over leaves, which is the edit distance of the leaves, by rows."""
+    low, n, m = 0, len(a), len(b)
+    while low < min(n, m) and a[low] == b[low]:
+        low += 1
+    while n > low and m > low and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    a, b = a[low:n], b[low:m]
+    number: dict[str, int] = {}
+    ids = [number.setdefault(x, len(number)) for x in (*a, *b)]
+    x, y, at = ids[: len(a)], np.array(ids[len(a) :], dtype=np.int64), np.arange(len(b) + 1)
+    row = at.copy()
+    for k, v in enumerate(x):
+        below = np.empty_like(row)
+        below[0] = k + 1
+        below[1:] = np.minimum(row[1:] + 1, row[:-1] + (y != v))
+        row = np.minimum.accumulate(below - at) + at
+    return int(row[-1])
+
+
 def credit(a: list[str], b: list[str]) -> float:
     """Order-respecting greedy credit for sequences of equal parts: max(0, 2 * matched - smaller) of the larger."""
     at, matched = 0, 0
@@ -113,11 +134,10 @@ def overlaps(pairs: DataFrame) -> DataFrame:
     def one(a: list[str], b: list[str]) -> float:
         if list(a) == list(b):
             return 1.0
-        if max(len(a), len(b)) + 1 > EXACT_NODES // 8:
-            return credit(a, b)
-        tree = lambda w: [(x, k) for k, x in enumerate(w)] + [("root", 0)]
         n, m = len(a) + 1, len(b) + 1
-        return max(0, max(n, m) - tree_distance(tree(a), tree(b))) / max(n, m)
+        if max(n, m) > EXACT_NODES:
+            return credit(a, b)
+        return max(0, max(n, m) - leaf_distance(a, b)) / max(n, m)
 
     @F.pandas_udf("double")
     def measure(a: pd.Series, b: pd.Series) -> pd.Series:

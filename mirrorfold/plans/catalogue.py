@@ -381,7 +381,7 @@ def overlap_upper_bounds(spark, d):
 
 @query()
 def tree_overlap(spark, d):
-    return measures.overlaps(measures.on_lines(_lines(spark, d), _pairs(spark, d).where("shared >= 2")))
+    return measures.overlaps(measures.on_lines(_lines(spark, d), _pairs(spark, d)))
 
 
 @query(f"""WITH {SCORED} SELECT "left", "right", {OUTCOME} AS outcome, CASE WHEN NOT (embedding_cos < 0.8 AND (structural = 1 OR token_jaccard >= 0.95)) THEN 'not_required' WHEN structural = 1 AND token_jaccard = 1 THEN 'exact_frontier'

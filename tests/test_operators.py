@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mirrorfold.functions import scalars as S
 from mirrorfold.operators import admission, candidates, clusters, closure, exclusions, fingerprints, literals, measures, metrics, reports, signatures
+from mirrorfold.plans import catalogue
 from mirrorfold.streaming import changes
 
 
@@ -225,3 +226,27 @@ def test_neighbours_are_all_found(spark):
     for i, v in vectors.items():
         near = sorted((-round(float(v @ w / (np.linalg.norm(v) * np.linalg.norm(w))), 6), j) for j, w in vectors.items() if j != i and len(w) == len(v) and v.any() and w.any())
         assert got[i] == [(j, -c) for c, j in near[:5] if -c >= 0.2]
+
+
+def test_leaf_distance_is_the_tree_distance():
+    tree = lambda w: [(x, k) for k, x in enumerate(w)] + [("root", 0)]
+    draw = np.random.default_rng(5)
+    for _ in range(200):
+        a, b = ([str(x) for x in draw.integers(0, 4, draw.integers(0, 14))] for _ in range(2))
+        assert measures.leaf_distance(a, b) == measures.tree_distance(tree(a), tree(b))
+
+
+def test_overlaps_are_exact_up_to_the_limit(spark):
+    """An early line that recurs at the other's end: by credit the rest would be lost."""
+    a = [f"l{k}" for k in range(767)]
+    pairs = [(1, 2, a[:200], [*a[1:200], a[0]]), (3, 4, a, [*a[1:], a[0]]), (5, 6, a[:9], a[9:18])]
+    got = {r["left"]: r["overlap"] for r in measures.overlaps(spark.createDataFrame(pairs, "left long, right long, a array<string>, b array<string>")).collect()}
+    assert got == {1: round(199 / 201, 6), 3: round(766 / 768, 6), 5: 0.1}
+
+
+def test_tree_overlap_measures_every_candidate(spark, tmp_path):
+    """Files that share one line only are measured as well."""
+    line, other = (" ".join(f"{c}{k}" for k in range(12)) for c in "ab")
+    texts = [f"{line}\n{other}", f"{line}\n" + other.replace("b", "c")]
+    spark.createDataFrame([(k, t, "en", "web", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in catalogue.QUERIES["tree_overlap"](spark, str(tmp_path)).collect()] == [(0, 1, round(2 / 3, 6))]
