@@ -202,6 +202,23 @@ def jaccard_estimate(spark, d):
     return signatures.estimates(s, candidates.band_pairs(signatures.bands(s, 16, 4)))
 
 
+def _sig128(spark, d):
+    """file_id, slot, value of the files that have grams."""
+    s = signatures.full_signatures(_files(spark, d)).where(F.array_min("signature") < signatures.EMPTY)
+    return s.select("file_id", F.posexplode("signature").alias("slot", "value"))
+
+
+@query()
+def lsh_band_collisions_128(spark, d):
+    return candidates.band_pairs(signatures.bands(_sig128(spark, d), S.SLOTS, S.ROWS))
+
+
+@query()
+def jaccard_estimate_128(spark, d):
+    s = _sig128(spark, d)
+    return signatures.estimates(s, candidates.band_pairs(signatures.bands(s, S.SLOTS, S.ROWS)))
+
+
 @query(f"WITH {PAIRS} SELECT * FROM jac")
 def exact_jaccard_pairs(spark, d):
     return candidates.exact_jaccard(_grams(spark, d), _pairs(spark, d))

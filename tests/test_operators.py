@@ -250,3 +250,17 @@ def test_tree_overlap_measures_every_candidate(spark, tmp_path):
     texts = [f"{line}\n{other}", f"{line}\n" + other.replace("b", "c")]
     spark.createDataFrame([(k, t, "en", "web", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(r) for r in catalogue.QUERIES["tree_overlap"](spark, str(tmp_path)).collect()] == [(0, 1, round(2 / 3, 6))]
+
+
+def test_bands_of_all_slots(spark, tmp_path):
+    """Pairs near a Jaccard of 0.7: four bands of 16 slots lose a third of them, 32 bands of 128 none."""
+    texts = []
+    for p in range(40):
+        words = [f"p{p}w{k}" for k in range(104)]
+        texts += [" ".join(words), " ".join([*words[:91], *(f"q{p}w{k}" for k in range(13))])]
+    spark.createDataFrame([(k, t, "en", "web", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(2 * p, 2 * p + 1) for p in range(40)}
+    assert {(r["left"], r["right"]) for r in catalogue.QUERIES["lsh_band_collisions_128"](spark, str(tmp_path)).collect()} == want
+    got = {(r["left"], r["right"]): r["estimate"] for r in catalogue.QUERIES["jaccard_estimate_128"](spark, str(tmp_path)).collect()}
+    assert set(got) == want and all(abs(x - 87 / 113) < 0.2 for x in got.values())
+    assert {(r["left"], r["right"]) for r in catalogue.QUERIES["lsh_band_collisions"](spark, str(tmp_path)).collect()} < want
