@@ -52,6 +52,20 @@ def rename(a: list[str], b: list[str]) -> tuple[float, bool]:
     return coverage * weight, constrained == explained and corroborated > 0 and identity >= corroborated
 
 
+def shingle_jaccards(files_: DataFrame, pairs: DataFrame, width: int = 8) -> DataFrame:
+    """left, right, shingle_jaccard of the distinct substrings of `width` of the whole texts; a shorter text is one."""
+
+    def cut_up(t: str) -> set[str]:
+        return {t[k : k + width] for k in range(max(1, len(t) - width + 1))}
+
+    @F.pandas_udf("double")
+    def measure(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([len(x & y) / len(x | y) for x, y in ((cut_up(p), cut_up(q)) for p, q in zip(a, b, strict=True))], dtype="float64")
+
+    a, b = files_.select(F.col("file_id").alias("left"), F.col("text").alias("a")), files_.select(F.col("file_id").alias("right"), F.col("text").alias("b"))
+    return pairs.select("left", "right").join(a, "left").join(b, "right").select("left", "right", F.round(measure("a", "b"), 6).alias("shingle_jaccard"))
+
+
 def renames(pairs: DataFrame) -> DataFrame:
     """left, right, a, b of equal lengths -> left, right, score, consistent."""
 

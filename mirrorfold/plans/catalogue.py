@@ -391,6 +391,11 @@ def literal_bound(spark, d):
     return _pairs(spark, d).where("shared >= 3").join(a, "left").join(b, "right").select("left", "right", F.round(S.set_jaccard(F.col("a"), F.col("b")), 6).alias("shingle_jaccard"))
 
 
+@query()
+def literal_bound_whole(spark, d):
+    return measures.shingle_jaccards(_files(spark, d), _pairs(spark, d))
+
+
 @query(f'WITH {SCORED} SELECT "left", "right", round(small / large, 6) AS bound FROM scored')
 def overlap_upper_bounds(spark, d):
     return _scored(spark, d).select("left", "right", F.round(F.col("small") / F.col("large"), 6).alias("bound"))

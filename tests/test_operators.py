@@ -264,3 +264,12 @@ def test_bands_of_all_slots(spark, tmp_path):
     got = {(r["left"], r["right"]): r["estimate"] for r in catalogue.QUERIES["jaccard_estimate_128"](spark, str(tmp_path)).collect()}
     assert set(got) == want and all(abs(x - 87 / 113) < 0.2 for x in got.values())
     assert {(r["left"], r["right"]) for r in catalogue.QUERIES["lsh_band_collisions"](spark, str(tmp_path)).collect()} < want
+
+
+def test_literal_bound_of_whole_texts(spark, tmp_path):
+    """Texts that differ only far behind, and share one line alone."""
+    line = " ".join(f"a{k}" for k in range(800))
+    texts = [f"{line}\n" + " ".join(f"{c}{k}" for k in range(300)) for c in "bc"]
+    spark.createDataFrame([(k, t, "en", "web", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    x, y = ({t[k : k + 8] for k in range(len(t) - 7)} for t in texts)
+    assert [tuple(r) for r in catalogue.QUERIES["literal_bound_whole"](spark, str(tmp_path)).collect()] == [(0, 1, round(len(x & y) / len(x | y), 6))]
