@@ -672,6 +672,22 @@ def container_election(spark, d):
     return clusters.containers(w.select((F.col("width") % 2).alias("component"), "file_id", "start", "end"))
 
 
+def _member_windows(spark, d):
+    """The windows of every file of a component."""
+    w = fingerprints.sibling_windows(_lines(spark, d))
+    return w.join(_roots(spark, d).select(F.col("node").alias("file_id"), F.col("root").alias("component")), "file_id")
+
+
+@query()
+def family_split_components(spark, d):
+    return clusters.families(_member_windows(spark, d).where("width = 2").select("component", "file_id", F.col("hash").alias("shape")))
+
+
+@query()
+def container_election_components(spark, d):
+    return clusters.containers(_member_windows(spark, d).select("component", "file_id", "start", "end"))
+
+
 @query(f"""WITH {LINES}, c AS (SELECT hash, min(file_id) AS l FROM lines WHERE nodes >= 8 GROUP BY hash HAVING count(DISTINCT file_id) > 1),
 v AS (SELECT a.file_id AS left_file, b.file_id AS right_file, a.ordinal AS s, b.ordinal - a.ordinal AS shift FROM c JOIN lines a ON a.hash = c.hash AND a.file_id = c.l JOIN lines b ON b.hash = c.hash AND b.file_id <> c.l),
 g AS (SELECT *, max(s + 1) OVER (PARTITION BY left_file, right_file, shift ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fr FROM v),
