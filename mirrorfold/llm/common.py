@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 import zlib
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrorfold.plans.checkpoints import cut, shared_dir
 
-__all__ = ["cut", "need", "remainder", "remainder_col", "scratch", "shared_dir", "table", "width"]
+__all__ = ["Memory", "cut", "drop", "held", "need", "release", "remainder", "remainder_col", "scratch", "shared_dir", "spare", "table", "texts_of", "width"]
 
 #: ASCII white space; every word of the contracts is a run of other characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,9 +22,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_FOLDERS: list[str] = []
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh folder below the shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared one; drop() or release() removes it."""
+    _FOLDERS.append(f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
+
+
+def drop(spark: SparkSession, *folders: str) -> None:
+    """Remove scratch folders that nothing will read again."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if folder in _FOLDERS:
+            _FOLDERS.remove(folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove every scratch folder of this process, once the results that read them are done with."""
+    drop(spark, *list(_FOLDERS))
+
+
+def spare(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def width(spark: SparkSession, factor: int = 1) -> int:
@@ -42,3 +69,59 @@ def remainder(doc_id: int | None, modulus: int) -> int:
 
 def remainder_col(doc_id: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(modulus)).cast("int")
+
+
+PIECE = 1 << 20  # bytes of a text that are looked at together
+
+
+def texts_of(text: bytes | None, size: int = PIECE) -> Iterator[bytes]:
+    """A text in pieces of about `size` bytes that end at spaces, so that no word is cut; a longer word is a piece."""
+    text, at = text or b"", 0
+    while len(text) - at > size:
+        end = text.rfind(b" ", at + 1, at + size)
+        end = end if end > 0 else text.find(b" ", at + size)
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
+
+
+class Memory(dict):
+    """What short words gave, within a number of bytes; when it is full it starts afresh."""
+
+    LONG, EACH = 48, 180  # bytes: longer words are not remembered; an entry takes so much besides its contents
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.size = most, 0
+
+    def room(self) -> Memory:
+        if self.size > self.most:
+            self.clear()
+            self.size = 0
+        return self
+
+    def keep(self, found: Iterable[tuple[bytes, bytes]]) -> None:
+        for word, value in found:
+            if len(word) <= self.LONG:
+                self[word] = value
+                self.size += len(word) + len(value) + self.EACH
+
+
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]):
+    """What a worker keeps from task to task for one purpose.
+
+    Workers outlive their stages. One that turns to another purpose drops what it held for the last and
+    gives the memory back, so that purposes don't add up.
+    """
+    if name not in _HELD:
+        _HELD.clear()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+        _HELD[name] = make()
+    return _HELD[name]

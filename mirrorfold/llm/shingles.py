@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from mirrorfold.llm.common import held, texts_of
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -13,15 +15,17 @@ LOWER[0x41:0x5B] += 0x20
 BASE = 0x9E3779B97F4A7C15 | 1
 AT_ONCE = 1 << 20  # bytes of text; one longer text goes alone
 
-_POWERS: list[np.ndarray] = []
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)]), dtype=np.uint64) for x in (BASE, pow(BASE, -1, 1 << 64)))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE and its inverse to the powers 0..n-1, modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, AT_ONCE + 1)
-        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)]), dtype=np.uint64) for x in (BASE, pow(BASE, -1, 1 << 64))]
-    return _POWERS[0][:n], _POWERS[1][:n]
+    if n > AT_ONCE + 1:  # one long word
+        return _powers(n)
+    up, down = held("shingles", lambda: _powers(AT_ONCE + 1))
+    return up[:n], down[:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -46,6 +50,10 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return mixed((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(starts, bounds)
 
 
+def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return word_hashes(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+
+
 def shingle_sets(texts: list[bytes | None], width: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its runs of `width` words; all its words as one if fewer; none without words."""
     at = 0
@@ -55,8 +63,11 @@ def shingle_sets(texts: list[bytes | None], width: int) -> Iterator[np.ndarray]:
             size += len(texts[end] or b"")
             end += 1
         some = [t or b"" for t in texts[at:end]]
-        data = np.frombuffer(b"".join(some), np.uint8)
-        h, cuts = word_hashes(data, np.concatenate([[0], np.cumsum([len(t) for t in some])]))
+        if size > AT_ONCE:  # one long text, hashed in pieces
+            h = np.concatenate([_hashes([p])[0] for p in texts_of(some[0], AT_ONCE)])
+            cuts = np.array([0, len(h)])
+        else:
+            h, cuts = _hashes(some)
         runs = np.zeros(max(0, len(h) - width + 1), np.uint64)
         for k in range(width):
             runs = mixed(runs * np.uint64(3) + h[k : k + len(runs)])

@@ -11,17 +11,15 @@ import re
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
-KNOWN = 1_200_000  # remembered pre-tokens of a worker; beyond it the memory starts afresh
-SHORT = 48  # bytes; longer ones are not remembered
+from mirrorfold.llm.common import Memory, held, texts_of
+
+KNOWN = 96 << 20  # bytes that a worker's remembered pre-tokens take
 
 LETTERS = rb"a-z\xdf-\xf6\xf8-\xff"  # lower case, in Latin-1
 PRETOKEN = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[" + LETTERS + rb"]+|[0-9]|[^\x20\x09-\x0d0-9" + LETTERS + rb"]+")
 PLAIN = bytes(range(128)) + bytes(x for x in range(0xC0, 0x100) if x not in (0xD7, 0xF7))
 LOWER = bytes(ord(c.lower()) if 0x41 <= i <= 0x5A or 0xC0 <= i <= 0xDE and i != 0xD7 else i for i, c in enumerate(map(chr, range(256))))
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -30,9 +28,7 @@ def default_tokenizer() -> str:
 
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder for a vocabulary: tasks that follow each other share what it remembers."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return held(f"tokens {path}", lambda: WordEncoder(path))
 
 
 class WordEncoder:
@@ -45,7 +41,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memory: dict[bytes, bytes] = {}
+        self.memory = Memory(KNOWN)
 
     def _ask(self, texts: list[str]) -> Iterator[bytes]:
         import struct
@@ -55,22 +51,22 @@ class WordEncoder:
                 yield struct.pack(f"<{len(e.ids)}I", *e.ids)
 
     def ids(self, text: bytes | None) -> bytes:
-        if not text:
-            return b""
+        """Ids of the whole text, worked out piece by piece: white space gives none."""
+        return b"".join(map(self._piece, texts_of(text)))
+
+    def _piece(self, text: bytes) -> bytes:
         try:
             plain = text.decode().encode("latin-1")
         except UnicodeEncodeError:
             plain = None
         if plain is None or b"<|" in plain or plain.translate(None, PLAIN):
             return b"".join(self._ask([w.decode() for w in text.split()]))
-        parts, memory = PRETOKEN.findall(plain.translate(LOWER)), self.memory
-        if len(memory) > KNOWN:
-            memory.clear()
+        parts, memory = PRETOKEN.findall(plain.translate(LOWER)), self.memory.room()
         new = list(set(parts).difference(memory))
         if not new:
             return b"".join(map(memory.__getitem__, parts))
         fresh = dict(zip(new, self._ask([x.decode("latin-1") for x in new]), strict=True))
-        memory.update((x, ids) for x, ids in fresh.items() if len(x) <= SHORT)
+        memory.keep(fresh.items())
         return b"".join([memory[x] if x in memory else fresh[x] for x in parts])
 
 
