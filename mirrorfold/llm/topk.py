@@ -2,9 +2,13 @@
 
 A vector is described, at each resolution, by the mean and the deviation of its segments. For any two
 vectors the negated product, the distance that ranks them, is at least
--sum(length * (mean * mean' + deviation * deviation')) over the segments. Coarse bounds come first; what
-they can't exclude meets the finer ones; survivors are computed exactly. Queries lie in a table in the
-shared folder and each task streams them past its rows, a block at a time, so nothing grows in memory.
+-sum(length * (mean * mean' + deviation * deviation')) over the segments. Coarse bounds come first; pairs
+that they can't exclude meet the finer ones; for survivors alone the product is computed.
+
+What a pair must reach is known beforehand: a share of the rows is searched first, and a query's k-th best
+there is its floor. So a row block sends on only what may be among the best of all, whatever its size.
+Queries lie in a table in the shared folder and each task streams them past its rows, a block at a time,
+so nothing grows in memory.
 """
 
 from __future__ import annotations
@@ -16,11 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mirrorfold.llm.common import need, scratch, table
+from mirrorfold.llm.common import drop, need, scratch, table
 from mirrorfold.llm.tokens import arrow
 
-K, SCALE, LEVELS = 10, 1024, (4, 16)  # segments at each resolution, coarse to fine
+K, SCALE, LEVELS = 10, 1024, (4, 16, 32)  # segments at each resolution, coarse to fine
 QUERIES, ROWS = 256, 16_384  # a block of each
+FLOORS = 8  # one row in so many is searched first
 
 
 def summaries(x: np.ndarray, segments: int) -> np.ndarray:
@@ -34,26 +39,35 @@ def summaries(x: np.ndarray, segments: int) -> np.ndarray:
     return out
 
 
-def best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, q_sums: list, x_sums: list, k: int) -> Iterator[tuple[int, int, int]]:
-    """(query id, id, product) of the k best rows of x for each row of q, ties to smaller ids, own ids left out."""
-    probe = q @ x[: 8 * k].T
-    probe[q_ids[:, None] == ids[None, : 8 * k]] = -np.inf
-    floor = np.partition(probe, -k, axis=1)[:, -k] if probe.shape[1] > k else np.full(len(q), -np.inf)
-    keep = np.arange(len(x))
-    for qs, xs in zip(q_sums, x_sums, strict=True):
-        # rounding of the bound is far below 1, and products are integers
-        possible = (qs @ xs[keep].T + 0.5 >= floor[:, None]).any(axis=0)
-        keep = keep[possible]
-    kept_ids = ids[keep]
-    exact = q @ x[keep].T
-    exact[q_ids[:, None] == kept_ids[None, :]] = -np.inf
-    for row, q_id, least in zip(exact, q_ids, floor, strict=True):
-        some = np.flatnonzero((row >= least) & np.isfinite(row))
+def survivors(floor: np.ndarray, q_sums: list, x_sums: list) -> np.ndarray:
+    """Which pairs no resolution excludes: queries x rows."""
+    # rounding of a bound is far below 1, and products are integers
+    at = (q_sums[0] @ x_sums[0].T + 0.5 >= floor[:, None]) if q_sums else None
+    for qs, xs in zip(q_sums[1:], x_sums[1:], strict=True):
+        for k, row in enumerate(at):
+            left = np.flatnonzero(row)
+            at[k, left] = xs[left] @ qs[k] + 0.5 >= floor[k]
+    return at
+
+
+def best(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, x: np.ndarray, ids: np.ndarray, q_sums: list, x_sums: list, k: int) -> Iterator[tuple[int, int, int, int]]:
+    """(query id, id, product, survivors) of the k best rows of x for each row of q that reach its floor, ties to smaller ids, own ids left out.
+
+    A query's survivors stand on its first row; a query without rows gives (query id, None, None, survivors).
+    """
+    for row, q_id, least, vector in zip(survivors(floor, q_sums, x_sums), q_ids.tolist(), floor, q, strict=True):
+        some = np.flatnonzero(row & (ids != q_id))
+        n, score = len(some), x[some] @ vector
+        some, score = some[score >= least], score[score >= least]
         if len(some) > k:
-            low = np.partition(row[some], -k)[-k]
-            some = some[row[some] >= low]
-        for at in some[np.lexsort((kept_ids[some], -row[some]))][:k]:
-            yield int(q_id), int(kept_ids[at]), int(row[at])
+            low = np.partition(score, -k)[-k]
+            some, score = some[score >= low], score[score >= low]
+        order = np.lexsort((ids[some], -score))[:k]
+        for at, product in zip(ids[some[order]].tolist(), score[order].tolist(), strict=True):
+            yield q_id, at, int(product), n
+            n = 0
+        if n:
+            yield q_id, None, None, n
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -67,20 +81,11 @@ def matrix(column, dims: int, scale: float = SCALE) -> np.ndarray:
     return np.floor(scale * np.asarray(column.flatten(), dtype=np.float64)).reshape(-1, dims)
 
 
-def search(vectors: DataFrame, query: F.Column, k: int = K, scale: float = SCALE, levels: tuple[int, ...] = LEVELS) -> DataFrame:
-    """Each query's k best rows of its own length: query_id, rank, vec_id, score.
-
-    Components become floor(scale * x). Null vectors, vectors with a null or non-finite component and null
-    ids take no part. Repeated rows of an id count as one candidate each of that id, a repeated query as
-    one query; a query's own id is no candidate. Products are exact below 2**53. Fewer rows: fewer results.
-    """
+def searched(rows: DataFrame, folder: str, k: int, scale: float, levels: tuple[int, ...]) -> DataFrame:
+    """Each query of the folder (vec_id, embedding, floor) against each block of rows: query_id, vec_id, score, survivors."""
     import pyarrow as pa
 
-    spark = vectors.sparkSession
-    rows = usable(vectors)
-    folder = scratch(spark, "queries")
-    rows.where(query).dropDuplicates(["vec_id"]).write.parquet(folder)
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("survivors", pa.int64())])
 
     def queries(dims: int):
         import pyarrow.dataset as ds
@@ -91,7 +96,7 @@ def search(vectors: DataFrame, query: F.Column, k: int = K, scale: float = SCALE
             of = batch.filter(pa.compute.equal(pa.compute.list_value_length(batch["embedding"]), dims))
             if of.num_rows:
                 q = matrix(of["embedding"], dims, scale)
-                yield q, np.asarray(of["vec_id"]), [summaries(q, s) for s in levels]
+                yield q, np.asarray(of["vec_id"]), np.asarray(of["floor"]), [summaries(q, s) for s in levels]
 
     def make(batches):
         import pyarrow.compute as pc  # noqa: F401
@@ -104,12 +109,48 @@ def search(vectors: DataFrame, query: F.Column, k: int = K, scale: float = SCALE
                     of = part.filter(pc.equal(lengths, dims))
                     x, ids = matrix(of["embedding"], dims, scale), np.asarray(of["vec_id"])
                     sums = [summaries(x, s) for s in levels]
-                    for q, q_ids, q_sums in queries(dims):
-                        yield from arrow(best(q, q_ids, x, ids, q_sums, sums, k), schema)
+                    for q, q_ids, floor, q_sums in queries(dims):
+                        yield from arrow(best(q, q_ids, floor, x, ids, q_sums, sums, k), schema)
+
+    return rows.select("vec_id", "embedding").mapInArrow(make, "query_id long, vec_id long, score long, survivors long")
+
 
-    found = rows.mapInArrow(make, "query_id long, vec_id long, score long")
+def ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.where("vec_id IS NOT NULL").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def with_floors(vectors: DataFrame, query: F.Column, k: int, scale: float, levels: tuple[int, ...]) -> tuple[DataFrame, str]:
+    """The usable rows, and the folder of their queries with floors: the k-th best product in a share of the rows, if it has k."""
+    spark, rows = vectors.sparkSession, usable(vectors)
+    first, folder = scratch(spark, "queries"), scratch(spark, "queries")
+    told = rows.where(query).dropDuplicates(["vec_id"]).select("vec_id", "embedding")
+    told.withColumn("floor", F.lit(float("-inf"))).write.parquet(first)
+    queries = spark.read.parquet(first)
+    share = searched(rows.where(F.pmod(F.xxhash64("vec_id", F.lit("floor")), F.lit(FLOORS)) == 0), first, k, scale, levels)
+    kth = ranked(share, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("least"))
+    queries.join(kth, "vec_id", "left").select("vec_id", "embedding", F.coalesce("least", "floor").alias("floor")).write.parquet(folder)
+    drop(spark, first)
+    return rows, folder
+
+
+def search(vectors: DataFrame, query: F.Column, k: int = K, scale: float = SCALE, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """Each query's k best rows of its own length: query_id, rank, vec_id, score.
+
+    Components become floor(scale * x). Null vectors, vectors with a null or non-finite component and null
+    ids take no part. Repeated rows of an id count as one candidate each of that id, a repeated query as
+    one query; a query's own id is no candidate. Products are exact below 2**53. Fewer rows: fewer results.
+    Columns of other names are left out, whatever they are.
+    """
+    rows, folder = with_floors(vectors, query, k, scale, levels)
+    return ranked(searched(rows, folder, k, scale, levels), k).select("query_id", "rank", "vec_id", "score")
+
+
+def survivor_share(vectors: DataFrame, query: F.Column, k: int = K, scale: float = SCALE, levels: tuple[int, ...] = LEVELS) -> float:
+    """The share of all pairs of a query and a row whose product is computed in the last pass."""
+    rows, folder = with_floors(vectors, query, k, scale, levels)
+    n = searched(rows, folder, k, scale, levels).agg(F.sum("survivors")).first()[0] or 0
+    return n / max(1, rows.count() * vectors.sparkSession.read.parquet(folder).count())
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
