@@ -3,7 +3,9 @@
 A page is read once into blocks, runs of text between tags that break a line, each with its place and the
 share of its text in links. What stands in navigation, forms, asides and the like is out. In the first
 pass stop words, length and link share decide a block, or leave it open when it is short; in the second an
-open block takes the label of the nearest decided ones around it.
+open block takes the label of the nearest decided ones around it. An article or main element is evidence,
+no verdict: fewer stop words do there, and a block that has none is open, not lost; its open blocks look to
+each other, and stand for the page where no block of the page is decided to be text.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ FURNITURE = re.compile(
 )
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>?", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Whole words of class, id and role that make an article element furniture.
+BESIDE = re.compile(r"(?:^|\s)(?:comments?|reply|replies|related|recommended|teasers?|promo|ads?|adverts?|advertisements?|sponsored|widgets?)(?:$|\s|[_-]+(?:item|body|card|box|list|entry)(?:$|\s))", re.I)
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -62,7 +66,7 @@ def furniture(tag: str, attributes: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id", "role", "itemprop") and tag not in ("body", "html", "article", "main") and FURNITURE.search(value):
+        if name in ("class", "id", "role", "itemprop") and tag not in ("body", "html") and (BESIDE if tag in MAIN else FURNITURE).search(value):
             return True
     return False
 
@@ -146,23 +150,44 @@ def blocks(page: str) -> list[Block]:
     return made
 
 
-def first_pass(b: Block, has_main: bool) -> bool | None:
+def first_pass(b: Block) -> bool | None:
     """Kept, dropped, or open."""
     if b.out:
         return False
     if b.linked > LINKS * max(1, len(b.text.replace(" ", ""))) and (b.linked > 20 or not b.main):
         return False
-    if has_main:
-        return True if b.main and len(b.text) >= SHORT else None if b.main else False
     words = WORDS.findall(b.text.lower())
     density = sum(w in STOP for w in words) / max(1, len(words))
     if len(b.text) < SHORT:
-        return False if re.match(r"\s*(?:©|\(c\)\s|copyright\b)", b.text, re.I) else None
+        return False if not b.main and re.match(r"\s*(?:©|\(c\)\s|copyright\b)", b.text, re.I) else None
     if density >= MANY:
         return True
     if density >= FEW:
-        return True if len(b.text) >= LONG else None
-    return False if len(words) < 5 or len(b.text) < LONG else None
+        return True if b.main or len(b.text) >= LONG else None
+    return None if b.main or len(words) >= 5 and len(b.text) >= LONG else False
+
+
+def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
+    """The open blocks' labels, from the nearest decided blocks before and after; furniture says nothing.
+
+    Blocks of an article or main element look to others of such. A heading goes with what follows.
+    """
+    kept = [bool(x) for x in labels]
+    for main in (False, True):
+        places = [k for k, b in enumerate(found) if not b.out and (b.main or not main)]
+        before, last = {}, None
+        for k in places:
+            last = last if labels[k] is None else labels[k]
+            before[k] = last
+        ahead = None
+        for k in reversed(places):
+            ahead = ahead if labels[k] is None else labels[k]
+            if labels[k] is None and found[k].main == main:
+                near = [x for x in (before[k], ahead) if x is not None]
+                kept[k] = any(near) if main else bool(ahead) if found[k].heading else bool(near) and all(near)
+    if not any(kept):
+        kept = [b.main and x is None for b, x in zip(found, labels, strict=True)]
+    return kept
 
 
 def main_text(page: str | None) -> str:
@@ -170,28 +195,8 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
-    has_main = any(b.main and not b.out for b in found)
-    labels = [first_pass(b, has_main) for b in found]
-    told = [None if b.out else x for b, x in zip(found, labels, strict=True)]  # furniture says nothing of its neighbours
-    before, last = [], None
-    for x in told:
-        last = x if x is not None else last
-        before.append(last)
-    kept, ahead = [], None
-    for k in range(len(found) - 1, -1, -1):
-        ahead = told[k] if told[k] is not None else ahead
-        near = [x for x in (before[k], ahead) if x is not None]
-        if labels[k] is not None:
-            keep = labels[k]
-        elif found[k].main:
-            keep = True if not near else any(near) or all(b.out or not b.main or labels[i] is None for i, b in enumerate(found))
-        elif found[k].heading:
-            keep = bool(ahead)  # a heading goes with what follows
-        else:
-            keep = len(near) == 2 and all(near) or len(near) == 1 and near[0]
-        if keep:
-            kept.append(found[k].text)
-    return "\n\n".join(reversed(kept))
+    kept = second_pass(found, [first_pass(b) for b in found])
+    return "\n\n".join(b.text for b, keep in zip(found, kept, strict=True) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:
