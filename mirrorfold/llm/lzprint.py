@@ -14,26 +14,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrorfold.llm.common import need, table, width
+from mirrorfold.llm.shingles import mixed
 from mirrorfold.llm.tokens import arrow, rows
 
 KEPT = 128  # least hashes in a fingerprint
 
 
-def parse(data: bytes, phrases: set[bytes], start: int, at: int) -> int:
-    """Go on parsing `data`, whose open phrase begins at `start`, from byte `at`; the new open phrase's start."""
-    learn = phrases.add
-    for end in range(at + 1, len(data) + 1):
-        phrase = data[start:end]
-        if phrase not in phrases:
-            learn(phrase)
-            start = end
-    return start
+class Phrases:
+    """A text's dictionary: phrases numbered from 1, each its prefix's number and one byte more; 0 is the empty one.
 
+    A step looks up one number, whatever the phrase's length, so that the work is linear in the text.
+    """
 
-def least(phrases: set[bytes]) -> np.ndarray:
-    import xxhash
-
-    hashes = np.fromiter(map(xxhash.xxh32_intdigest, phrases), np.uint32, len(phrases))
+    def __init__(self):
+        self.next: dict[int, int] = {}
+        self.hashes = [0xCBF29CE484222325]
+        self.open = 0
+
+    def copy(self) -> Phrases:
+        other = Phrases()
+        other.next, other.hashes, other.open = self.next.copy(), self.hashes.copy(), self.open
+        return other
+
+    def parse(self, data: bytes) -> Phrases:
+        """Go on with `data`: each phrase that is new ends, and the next begins; the last may stay open."""
+        at, known, hashes, find = self.open, self.next, self.hashes, self.next.get
+        for byte in data:
+            step = at << 8 | byte
+            longer = find(step)
+            if longer is None:
+                known[step] = len(hashes)
+                hashes.append((hashes[at] ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF)
+                at = 0
+            else:
+                at = longer
+        self.open = at
+        return self
+
+
+def least(phrases: Phrases) -> np.ndarray:
+    hashes = (mixed(np.array(phrases.hashes[1:], np.uint64)) >> np.uint64(32)).astype(np.uint32)
     if len(hashes) > 2 * KEPT:
         hashes = np.partition(hashes, 2 * KEPT)[: 2 * KEPT]  # room for a few equal ones
     return np.unique(hashes)[:KEPT]
@@ -52,9 +72,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def fingerprint(text: str) -> np.ndarray:
-    phrases: set[bytes] = set()
-    parse(text.encode(), phrases, 0, 0)
-    return least(phrases)
+    return least(Phrases().parse(text.encode()))
 
 
 def edited(text: str, other: str) -> str:
@@ -65,13 +83,9 @@ def edited(text: str, other: str) -> str:
 
 def both_prints(text: str, new: str, kept: int) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of a text and its edited form; the `kept` code points that they share are parsed once."""
-    head = text[:kept].encode()
-    own: set[bytes] = set()
-    start = parse(head, own, 0, 0)
+    own = Phrases().parse(text[:kept].encode())
     other = own.copy()
-    parse(text.encode(), own, start, len(head))
-    parse(new.encode(), other, start, len(head))
-    return least(own), least(other)
+    return least(own.parse(text[kept:].encode())), least(other.parse(new[kept:].encode()))
 
 
 def chained(docs: DataFrame) -> DataFrame:
