@@ -80,14 +80,14 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, each as many times as it is taken; the columns of docs.
+    """The documents of the mix, each as many times as it is taken; the columns of docs, whatever their names.
 
     Rows of one id with equal source and size share their place, so the mix takes them equally often.
     """
-    told = mix(docs).select(F.col("doc_id").alias("id_"), F.col("source").alias("source_"), F.col("size").alias("taken_size_"), F.col("times").alias("times_")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("source_")) & (F.col("size_") == F.col("taken_size_"))
-    put = docs.withColumn("size_", words("text")).join(told, same).where("times_ > 0")
-    return put.withColumn("again_", F.explode(F.sequence(F.lit(1), F.col("times_")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    told = mix(docs).select("doc_id", "source", "size", "times").distinct().where("times > 0")
+    rows = docs.select(F.col("doc_id").alias("id_"), F.col("source").alias("from_"), words("text").alias("words_"), F.struct("*").alias("row_"))
+    same = F.col("doc_id").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("from_")) & (F.col("size") == F.col("words_"))
+    return rows.join(told, same).select("row_", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row_.*")
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

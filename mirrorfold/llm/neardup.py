@@ -193,10 +193,15 @@ def groups(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataF
 
 
 def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents with one of each near-duplicate group: the least id, one row of it. Null ids all stay."""
+    """The documents with one of each near-duplicate group: the least id. Null ids all stay.
+
+    Rows of one id and text are one document, the least of their hashes stands for it; an id whose rows hold
+    several texts names several documents, which all stay or all go. Columns of any name pass through.
+    """
     gone = groups(docs, width, percent).where("NOT kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL"))
+    rows = docs.select(F.col("doc_id").alias("id_"), F.sha2(F.col("text"), 256).alias("text_"), F.struct("*").alias("row_")).join(gone.withColumnRenamed("doc_id", "id_"), "id_", "left_anti")
+    one = rows.where("id_ IS NOT NULL").groupBy("id_", "text_").agg(F.min_by("row_", F.xxhash64("row_")).alias("row_"))
+    return one.select("row_.*").unionByName(rows.where("id_ IS NULL").select("row_.*"))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

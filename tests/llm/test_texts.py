@@ -129,12 +129,49 @@ def test_lz_prints(spark, docs):
     assert lzprint.prints(docs.where("doc_id = 99")).count() == 0
 
 
-def test_lz_parse_in_two_steps():
-    data = b"abababcabcabcdabcd" * 9
-    one, two = set(), set()
-    lzprint.parse(data, one, 0, 0)
-    lzprint.parse(data, two, lzprint.parse(data[:40], two, 0, 0), 40)
-    assert one == two
+def plain_phrases(data):
+    """The textbook parse: the shortest run that the dictionary lacks."""
+    found, start = [], 0
+    for end in range(1, len(data) + 1):
+        if data[start:end] not in found:
+            found.append(data[start:end])
+            start = end
+    return found, data[start:]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="abé ", max_size=60), st.integers(0, 80))
+def test_lz_parse_is_the_textbook_one(text, at):
+    data = text.encode()
+    want, rest = plain_phrases(data)
+    for got in (lzprint.Phrases().parse(data), lzprint.Phrases().parse(data[:at]).copy().parse(data[at:])):
+        spelt = {0: b""}
+        for step, n in sorted(got.next.items(), key=lambda x: x[1]):
+            spelt[n] = spelt[step >> 8] + bytes([step & 255])
+        assert [spelt[n] for n in range(1, len(spelt))] == want and spelt[got.open] == rest
+        assert len(set(got.hashes)) == len(got.hashes)
+
+
+def test_lz_work_is_linear():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        lzprint.Phrases().parse(b"a" * n)
+        return time.process_time() - began
+
+    took(1000)
+    assert took(2_000_000) < 40 * max(took(200_000), 0.01)
+
+
+def test_lz_likeness_against_sets():
+    draw = random.Random(8)
+    for _ in range(30):
+        a, b = (" ".join(draw.choice(["the", "cat", "sat", "on", "mats", "and", "ran"]) for _ in range(draw.randrange(300))) for _ in "ab")
+        prints = [sorted({int(h) for h in lzprint.fingerprint(t)}) for t in (a, b)]
+        least = sorted(set(prints[0]) | set(prints[1]))[: lzprint.KEPT]
+        want = sum(h in prints[0] and h in prints[1] for h in least) / len(least) if least else 1.0
+        assert lzprint.likeness(*(lzprint.fingerprint(t) for t in (a, b))) == want
 
 
 PAGE = """<!DOCTYPE html><html><head><title>Not this</title><script>var a="</p><p>no";</script></head><body>
@@ -151,6 +188,58 @@ def test_main_text():
     assert htmltext.main_text(loose) == "Head\n\nThe quick brown fox is in the house of the king, and it was there for a long time.\n\nAnd so on."
 
 
+def test_densities_decide_with_an_article_and_without():
+    advert = "<p>Pills cheap buy now order casino bonus win cash prizes best price discount offer click order cheap pills</p>"
+    text = "<p>The quick brown fox is in the house of the king, and it was there for a long time with all of us.</p>"
+    words = "The quick brown fox is in the house of the king, and it was there for a long time with all of us."
+    assert htmltext.main_text(f"<article>{advert}</article><div>{text}</div>") == words
+    assert htmltext.main_text(f"<div>{text}</div><article class=related>{text}</article><article class='comment'>{text}</article>") == words
+    assert htmltext.main_text(f"<article>{advert}{text}</article>").endswith(words) and "Pills" in htmltext.main_text(f"<article>{advert}{text}</article>")
+    assert htmltext.main_text(f"<article class='post related-posts'>{text}</article>") == words
+    assert "Pills" in htmltext.main_text(f"<article>{advert}</article>") and htmltext.main_text(advert) == ""
+
+
+def plain_labels(found):
+    """The rules over blocks again, block by block."""
+    first = []
+    for b in found:
+        letters = len(b.text.replace(" ", ""))
+        w = [x for x in htmltext.WORDS.findall(b.text.lower())]
+        share = len([x for x in w if x in htmltext.STOP]) / len(w) if w else 0
+        if b.out or (b.linked / max(letters, 1) > 0.4 and (b.linked > 20 or not b.main)):
+            first.append("no")
+        elif len(b.text) < 70:
+            first.append("no" if b.text.startswith("©") and not b.main else "open")
+        elif share >= 0.25 or share >= 0.12 and (b.main or len(b.text) >= 200):
+            first.append("yes")
+        elif b.main or share >= 0.12:
+            first.append("open")
+        else:
+            first.append("open" if len(w) >= 5 and len(b.text) >= 200 else "no")
+    final = []
+    for k, b in enumerate(found):
+        if first[k] != "open":
+            final.append(first[k] == "yes")
+            continue
+        peers = [j for j, o in enumerate(found) if not o.out and first[j] != "open" and (o.main or not b.main)]
+        near = [first[j] == "yes" for j in (max((j for j in peers if j < k), default=None), min((j for j in peers if j > k), default=None)) if j is not None]
+        after = [first[j] == "yes" for j in peers if j > k][:1]
+        final.append(any(near) if b.main else after == [True] if b.heading else bool(near) and all(near))
+    return final if any(final) else [b.main and x == "open" for b, x in zip(found, first)]
+
+
+BLOCK = st.builds(
+    lambda words, n, link, *flags: htmltext.Block(t := (" ".join(words) * n)[:260].strip() or "x", int(link * len(t.replace(" ", ""))), *flags),
+    st.lists(st.sampled_from(["the", "of", "and", "house", "river", "stone", "©"]), min_size=1, max_size=6), st.integers(1, 12), st.sampled_from([0, 0, 0.3, 0.5, 1.0]), st.booleans(), st.booleans(), st.booleans(),
+)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(BLOCK, max_size=9))
+def test_passes_against_plain_rules(found):
+    assert htmltext.second_pass(found, [htmltext.first_pass(b) for b in found]) == plain_labels(found)
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE, 1), (1, "u", PAGE, 1), (None, None, None, 2), (2, "v", "<p>" + "the word of it " * 50_000 + "</p>", 3)]
     got = htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text long"))
