@@ -87,25 +87,29 @@ def texts_of(text: bytes | None, size: int = PIECE) -> Iterator[bytes]:
     yield text[at:] if at else text
 
 
-class Memory(dict):
-    """What short words gave, within a number of bytes; when it is full it starts afresh."""
+class Memory:
+    """What short words gave, within a number of bytes; when it is full it starts afresh.
+
+    `known` is a plain dictionary: a set's difference with one looks up the set's words, with any other
+    mapping it would go through all that is remembered.
+    """
 
     LONG, EACH = 48, 180  # bytes: longer words are not remembered; an entry takes so much besides its contents
 
     def __init__(self, most: int):
-        super().__init__()
+        self.known: dict[bytes, bytes] = {}
         self.most, self.size = most, 0
 
-    def room(self) -> Memory:
+    def room(self) -> dict[bytes, bytes]:
         if self.size > self.most:
-            self.clear()
+            self.known.clear()
             self.size = 0
-        return self
+        return self.known
 
     def keep(self, found: Iterable[tuple[bytes, bytes]]) -> None:
         for word, value in found:
             if len(word) <= self.LONG:
-                self[word] = value
+                self.known[word] = value
                 self.size += len(word) + len(value) + self.EACH
 
 

@@ -66,7 +66,7 @@ class WordEncoder:
         if not new:
             return b"".join(map(memory.__getitem__, parts))
         fresh = dict(zip(new, self._ask([x.decode("latin-1") for x in new]), strict=True))
-        memory.keep(fresh.items())
+        self.memory.keep(fresh.items())
         return b"".join([memory[x] if x in memory else fresh[x] for x in parts])
 
 

@@ -59,7 +59,7 @@ class Features:
         some, memory = words(text), self.memory.room()
         fresh = {w: grams(w) for w in some.difference(memory)}
         flat = np.frombuffer(b"".join([memory[w] if w in memory else fresh[w] for w in some]), np.int32)
-        memory.keep(fresh.items())
+        self.memory.keep(fresh.items())
         turn = np.arange(len(flat), dtype=np.int32)
         self.place[flat] = turn
         return np.sort(flat[self.place[flat] == turn])
