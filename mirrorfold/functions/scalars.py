@@ -111,3 +111,9 @@ def folded(text: Column) -> Column:
 
 def severity(mass: Column) -> Column:
     return F.when(mass >= 1000, "high").when(mass >= 100, "medium").otherwise("low")
+
+
+def line_of(text: Column, at: Column) -> Column:
+    """The line, from 1, of a character offset."""
+    head = F.substr(text, F.lit(1), at.cast("int"))
+    return (F.length(head) - F.length(F.replace(head, F.lit("\n"))) + 1).cast("long")

@@ -127,3 +127,9 @@ def coalesced(views: DataFrame) -> DataFrame:
     runs = views.withColumn("new_", F.when(frontier.isNull() | (F.col("left_start") > frontier), 1).otherwise(0))
     runs = runs.withColumn("run", F.sum("new_").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return runs.groupBy(*group, "run").agg(F.min("left_start").alias("left_start"), F.max("left_end").alias("left_end"), F.count("*").alias("views")).drop("run")
+
+
+def visibility(occurrences: DataFrame) -> DataFrame:
+    """(component, hidden) -> component, hidden_reason: null where two occurrences or more are seen."""
+    told = occurrences.groupBy("component").agg(F.count("*").alias("n_"), F.bool_and("hidden").alias("all_"), F.count_if(~F.col("hidden")).alias("seen_")).where("n_ >= 2")
+    return told.select("component", F.when(F.col("all_"), "all_hidden").when(F.col("seen_") < 2, "single_visible").alias("hidden_reason"))

@@ -33,3 +33,10 @@ def capped(findings: DataFrame, cap: int) -> DataFrame:
     """The heaviest `cap` findings of each kind, with how many of the kind are hidden."""
     of = Window.partitionBy("kind")
     return findings.withColumn("n_", F.row_number().over(of.orderBy(F.desc("mass"), "id"))).withColumn("hidden", F.greatest(F.count("*").over(of) - cap, F.lit(0))).where(F.col("n_") <= cap).drop("n_")
+
+
+def keyed(sites: DataFrame) -> DataFrame:
+    """(file_id, value) -> number, content, sites, spellings: numbers meet by their value, other literals by their content."""
+    told = sites.withColumn("number", F.expr("try_cast(value AS double)"))
+    key = F.when(F.col("number").isNull(), F.col("value"))
+    return told.groupBy("number", key.alias("content")).agg(F.count("*").alias("sites"), F.countDistinct("value").alias("spellings"))

@@ -165,3 +165,22 @@ def holes(members: DataFrame) -> DataFrame:
     even = members.groupBy("component").agg(F.countDistinct(F.size("w")).alias("lengths")).where("lengths = 1").select("component")
     each = members.join(even, "component", "left_semi").select("component", F.posexplode("w").alias("pos", "token"))
     return each.groupBy("component", (F.col("pos") + 1).cast("long").alias("pos")).agg(F.countDistinct("token").alias("fillings")).where("fillings > 1")
+
+
+def operator_surplus(files_: DataFrame, pairs: DataFrame, operators: str = r"[.,;:!?|#*%&$]") -> DataFrame:
+    """left, right, substituted: each side has more of some operator than the other, so that one stands for another; more on one side alone is an addition."""
+    counts = files_.select("file_id", F.explode(F.regexp_extract_all("text", F.lit(operators), F.lit(0))).alias("op")).groupBy("file_id", "op").agg(F.count("*").alias("n"))
+    sides = [pairs.select("left", "right").join(counts.withColumnRenamed("file_id", side), side).select("left", "right", "op", (F.col("n") * by).alias("n")) for side, by in (("left", 1), ("right", -1))]
+    gaps = sides[0].unionByName(sides[1]).groupBy("left", "right", "op").agg(F.sum("n").alias("n"))
+    told = gaps.groupBy("left", "right").agg((F.bool_or(F.col("n") > 0) & F.bool_or(F.col("n") < 0)).alias("substituted"))
+    return pairs.select("left", "right").join(told, ["left", "right"], "left").na.fill(False, ["substituted"])
+
+
+def multiset_bound(lines_: DataFrame, pairs: DataFrame) -> DataFrame:
+    """left, right, bound: no alignment can share more lines than both files have of each kind, over the larger file's."""
+    counts = lines_.groupBy("file_id", "hash").agg(F.count("*").alias("n"))
+    sizes = lines_.groupBy("file_id").agg(F.count("*").alias("size"))
+    a, b = counts.select(F.col("file_id").alias("left"), "hash", F.col("n").alias("x")), counts.select(F.col("file_id").alias("right"), "hash", F.col("n").alias("y"))
+    both = pairs.select("left", "right").join(a, "left").join(b, ["right", "hash"]).groupBy("left", "right").agg(F.sum(F.least("x", "y")).alias("both"))
+    both = both.join(sizes.select(F.col("file_id").alias("left"), F.col("size").alias("p")), "left").join(sizes.select(F.col("file_id").alias("right"), F.col("size").alias("q")), "right")
+    return both.select("left", "right", F.round(F.col("both") / F.greatest("p", "q"), 6).alias("bound"))

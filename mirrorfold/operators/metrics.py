@@ -65,3 +65,9 @@ def diff_metrics(lines_: DataFrame, added: DataFrame) -> DataFrame:
     """Duplicated lines among the added ones."""
     both = lines_.select("path", "line").distinct().join(added.select("path", "line").distinct(), ["path", "line"])
     return both.agg(F.count("*").alias("duplicated_added")).crossJoin(F.broadcast(added.select("path", "line").distinct().agg(F.count("*").alias("added")))).withColumn("percent", S.percent(F.col("duplicated_added"), F.col("added")))
+
+
+def worst_first(per_path: DataFrame, most: int) -> DataFrame:
+    """The `most` paths of the highest percent, ties by path, with their rank; only they are ranked."""
+    top = per_path.orderBy(F.desc("percent"), "path").limit(most)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("percent"), "path")).cast("long"))  # `most` rows

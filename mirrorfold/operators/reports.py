@@ -64,3 +64,7 @@ def find_similar(hashes: DataFrame, probes: DataFrame, most: int) -> DataFrame:
     """(file_id, hash) x (probe_id, hash) -> the `most` files that share the most hashes with each probe."""
     hit = hashes.select("file_id", "hash").distinct().join(probes.select("probe_id", "hash").distinct(), "hash").groupBy("probe_id", "file_id").agg(F.count("*").alias("shared"))
     return hit.withColumn("rank", F.row_number().over(Window.partitionBy("probe_id").orderBy(F.desc("shared"), "file_id")).cast("long")).where(F.col("rank") <= most)
+
+
+def change_summary(changes: DataFrame) -> DataFrame:
+    return changes.groupBy("change").agg(F.count("*").alias("clusters"))

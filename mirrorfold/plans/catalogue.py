@@ -63,13 +63,15 @@ def _roots(spark, d):
     return closure.components(kept.select(F.col("right").alias("u"), F.col("left").alias("v")))
 
 
-def _occurrences(spark, d):
+def _occurrences(spark, d, roots=None):
     f = _files(spark, d).withColumn("nodes", F.size(S.words(F.col("text"))).cast("long")).withColumn("text_hash", F.md5("text")).withColumn("hidden", F.col("file_id") % 7 == 0)
-    return _roots(spark, d).join(f, F.col("node") == F.col("file_id")).select(F.col("root").alias("component"), "file_id", "path", "language", "nodes", "text_hash", "hidden", S.line_count(F.col("text")).alias("loc"))
+    roots = _roots(spark, d) if roots is None else roots
+    return roots.join(f, F.col("node") == F.col("file_id")).select(F.col("root").alias("component"), "file_id", "path", "language", "nodes", "text_hash", "hidden", S.line_count(F.col("text")).alias("loc"))
 
 
-def _clusters(spark, d):
-    o = _occurrences(spark, d)
+def _clusters(spark, d, o=None):
+    """From occurrences, where they are at hand, so that the components are worked out once."""
+    o = _occurrences(spark, d) if o is None else o
     shape = o.groupBy("component").agg(F.min("text_hash").alias("shape"), F.countDistinct("text_hash").alias("texts"))
     named = clusters.ids(o.join(shape, "component"))
     made = clusters.masses(o).join(named, "component").join(shape, "component")
@@ -77,6 +79,13 @@ def _clusters(spark, d):
     return clusters.with_severity(clusters.ranked(made, F.lit(True)))
 
 
+def _named(spark, d):
+    """Occurrences with their cluster's id, and the clusters, from components worked out once."""
+    o = _occurrences(spark, d)
+    made = _clusters(spark, d, o)
+    return o.join(made.select("component", "cluster_id"), "component"), made
+
+
 # SQL that several oracles share
 FILES = "files AS (SELECT doc_id AS file_id, source || '/' || doc_id AS path, lang AS language, text FROM documents)"
 LINES = (
@@ -362,13 +371,12 @@ def content_agreement(spark, d):
     return measures.on_pairs(_files(spark, d), _pairs(spark, d)).select("left", "right", F.round(measures.agreement(F.col("a"), F.col("b")), 6).alias("agreement"))
 
 
-@query(rf"""WITH {PAIRS}, t AS (SELECT file_id, list_sort(regexp_extract_all(text, '[.,;:!?|#*%&$]')) AS w FROM files)
-SELECT "left", "right", a.w <> b.w AS substituted FROM pairs JOIN t a ON a.file_id = "left" JOIN t b ON b.file_id = "right" """)
+@query(rf"""WITH {PAIRS}, t AS (SELECT file_id, unnest(regexp_extract_all(text, '[.,;:!?|#*%&$]')) AS op FROM files), n AS (SELECT file_id, op, count(*) AS n FROM t GROUP BY ALL),
+x AS (SELECT p."left", p."right", n.op, n.n AS a, 0 AS b FROM pairs p JOIN n ON n.file_id = p."left" UNION ALL SELECT p."left", p."right", n.op, 0, n.n FROM pairs p JOIN n ON n.file_id = p."right"),
+y AS (SELECT "left", "right", op, sum(a) AS a, sum(b) AS b FROM x GROUP BY ALL), z AS (SELECT "left", "right", bool_or(a > b) AND bool_or(b > a) AS substituted FROM y GROUP BY ALL)
+SELECT p."left", p."right", coalesce(substituted, false) AS substituted FROM pairs p LEFT JOIN z ON z."left" = p."left" AND z."right" = p."right" """)
 def operator_substitution(spark, d):
-    ops = lambda f: F.array_sort(F.regexp_extract_all(f, F.lit(r"[.,;:!?|#*%&$]"), F.lit(0)))
-    f = _files(spark, d).select("file_id", ops(F.col("text")).alias("w"))
-    a, b = f.select(F.col("file_id").alias("left"), F.col("w").alias("a")), f.select(F.col("file_id").alias("right"), F.col("w").alias("b"))
-    return _pairs(spark, d).join(a, "left").join(b, "right").select("left", "right", (F.col("a") != F.col("b")).alias("substituted"))
+    return measures.operator_surplus(_files(spark, d), _pairs(spark, d))
 
 
 @query()
@@ -383,16 +391,9 @@ def literal_share(spark, d):
     return _files(spark, d).select("file_id", F.size(w).cast("long").alias("leaves"), F.size(F.filter(w, lambda x: x.rlike("[0-9]"))).cast("long").alias("literals")).withColumn("share", F.when(F.col("leaves") == 0, F.lit(0.0)).otherwise(F.round(F.col("literals") / F.col("leaves"), 6)))
 
 
-@query(f"""WITH {PAIRS}, t AS (SELECT file_id, list_distinct([substr(text[1:2000], i, 8) FOR i IN range(1, greatest(length(text[1:2000]) - 7, 1) + 1)]) AS s FROM files)
-SELECT "left", "right", round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS shingle_jaccard FROM pairs JOIN t a ON a.file_id = "left" JOIN t b ON b.file_id = "right" WHERE shared >= 3""")
+@query(f"""WITH {PAIRS}, t AS (SELECT file_id, list_distinct([substr(text, i, 8) FOR i IN range(1, greatest(length(text) - 7, 1) + 1)]) AS s FROM files)
+SELECT "left", "right", round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS shingle_jaccard FROM pairs JOIN t a ON a.file_id = "left" JOIN t b ON b.file_id = "right" """)
 def literal_bound(spark, d):
-    f = _files(spark, d).select("file_id", S.shingles(F.substring("text", 1, 2000)).alias("s"))
-    a, b = f.select(F.col("file_id").alias("left"), F.col("s").alias("a")), f.select(F.col("file_id").alias("right"), F.col("s").alias("b"))
-    return _pairs(spark, d).where("shared >= 3").join(a, "left").join(b, "right").select("left", "right", F.round(S.set_jaccard(F.col("a"), F.col("b")), 6).alias("shingle_jaccard"))
-
-
-@query()
-def literal_bound_whole(spark, d):
     return measures.shingle_jaccards(_files(spark, d), _pairs(spark, d))
 
 
@@ -432,17 +433,43 @@ def _pages(spark, d):
     return _table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"), "html")
 
 
-@query(f"WITH {PATHS} SELECT page_id, list_has_any(string_split(lower(path), '/'), ['en', 'de', 'build', 'node_modules']) AS excluded FROM p")
+P_PARTS = "list_filter(string_split(lower(path), '/'), lambda x: x <> '' AND x <> '.')"
+
+
+@query(f"WITH {PATHS} SELECT page_id, list_has_any({P_PARTS}, {list(exclusions.ARTEFACTS + exclusions.DEPENDENCIES)!r}) AS excluded FROM p")
 def path_excludes(spark, d):
-    return _pages(spark, d).select("page_id", F.arrays_overlap(F.split(F.lower("path"), "/"), F.array(*map(F.lit, ("en", "de", "build", "node_modules")))).alias("excluded"))
+    return _pages(spark, d).select("page_id", exclusions.excluded(F.col("path")).alias("excluded"))
+
+
+@query(f"""WITH {PATHS}, q AS (SELECT page_id, {P_PARTS} AS c FROM p) SELECT page_id, list_has_any(c, {list(exclusions.HIDDEN)!r})
+  OR len([i FOR i IN range(1, len(c)) IF (c[i] || '/' || c[i + 1]) IN ({", ".join(f"'{a}/{b}'" for a, b in exclusions.HIDDEN_PAIRS)})]) > 0
+  OR coalesce(len(list_filter({list(exclusions.HIDDEN_SUFFIXES)!r}, lambda x: ends_with(c[-1], x))) > 0, false) AS hidden FROM q""")
+def report_hide(spark, d):
+    return _pages(spark, d).select("page_id", exclusions.report_hidden(F.col("path")).alias("hidden"))
 
 
-@query(f"WITH {PATHS} SELECT page_id, regexp_matches(path, '\\.min\\.(js|css)$') OR (strlen(html) >= 16384 AND strlen(substr(html, 1, 65536)) // len(string_split(substr(html, 1, 65536), chr(10))) > 200) AS minified FROM p")
+@query(f"""WITH {PATHS}, q AS (SELECT page_id, path, [CASE WHEN x = '..' THEN -1 WHEN x IN ('', '.') THEN 0 ELSE 1 END FOR x IN string_split(path, '/')] AS s FROM p)
+SELECT page_id, NOT starts_with(path, '/') AND list_min([list_sum(s[1:i]) FOR i IN range(1, len(s) + 1)]) >= 0 AS contained FROM q""")
+def path_guard(spark, d):
+    return _pages(spark, d).select("page_id", exclusions.contained(F.col("path")).alias("contained"))
+
+
+@query(f"""WITH {PATHS}, q AS (SELECT page_id, path, encode(html) AS b FROM p), r AS (SELECT page_id, path, octet_length(b) AS n, hex(b[1:65536]) AS h FROM q),
+l AS (SELECT *, len(h) // 2 AS size, len([1 FOR i IN range(1, len(h), 2) IF h[i:i + 1] = '0A']) + 1 AS lines FROM r)
+SELECT page_id, len(list_filter({list(exclusions.MINIFIED)!r}, lambda x: ends_with(lower(path), x))) > 0 OR (n >= 16384 AND size // lines > 200) AS minified FROM l""")
 def minified_test(spark, d):
     return _pages(spark, d).select("page_id", exclusions.minified(F.col("path"), F.col("html")).alias("minified"))
 
 
-@query(f"WITH {FILES} SELECT file_id, len(list_filter({list(exclusions.BANNERS)!r}, lambda b: contains(lower(array_to_string(string_split(text, chr(10))[1:5], chr(10))), b))) > 0 AS generated FROM files")
+@query(rf"""WITH {FILES}, l AS (SELECT file_id, string_split(text, chr(10)) AS a FROM files),
+o AS (SELECT file_id, CASE WHEN coalesce(list_position(c, true), 0) = 0 THEN a ELSE a[1:list_position(c, true) - 1] END AS a FROM (SELECT file_id, a, [NOT regexp_matches(x, '^[ 	
+]*([/*#!(]|$)') FOR x IN a] AS c FROM l)),
+w AS (SELECT file_id, [lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '^[ 	
+]*[/*#!(]*[ 	
+]*', ''), '[ 	
+]*$', ''), '(\*/|\*\))$', ''), '[ 	
+]+', ' ', 'g'))) FOR x IN a] AS a FROM o)
+SELECT file_id, len([1 FOR x IN a IF list_contains({list(exclusions.BANNERS)!r}, x) OR {" OR ".join(f"(length(x) >= {len(a) + len(b)} AND starts_with(x, '{a}') AND ends_with(x, '{b}'))" for a, b in exclusions.FRAMED_BANNERS)}]) > 0 AS generated FROM w""")
 def generated_banner(spark, d):
     return _files(spark, d).select("file_id", exclusions.generated(F.col("text")).alias("generated"))
 
@@ -466,7 +493,8 @@ PCT = "CASE WHEN analysed_loc = 0 THEN 0 ELSE round(least(100, duplicated_loc *
 
 
 def _dup(spark, d):
-    o = _occurrences(spark, d).join(_clusters(spark, d).select("component", "kind", "cluster_id"), "component").where("NOT hidden AND loc > 0")
+    o = _occurrences(spark, d)
+    o = o.join(_clusters(spark, d, o).select("component", "kind", "cluster_id"), "component").where("NOT hidden AND loc > 0")
     return metrics.duplicated_lines(o.select("kind", "path", F.lit(1).cast("long").alias("start_line"), F.col("loc").alias("end_line")))
 
 
@@ -512,7 +540,7 @@ def diff_added_lines(spark, d):
 
 @query(f"WITH {OCC} SELECT cluster_id AS cluster, bool_or(file_id % 3 = 0 AND loc > 0 AND NOT hidden) AS intersects_diff, bool_or(file_id % 3 = 0 AND loc > 0 AND NOT hidden) AND bool_and(file_id % 3 = 0 AND loc > 0) AS is_newly_introduced FROM occ JOIN clusters USING (component) GROUP BY ALL")
 def diff_tags(spark, d):
-    o = _occurrences(spark, d).join(_clusters(spark, d).select("component", "cluster_id"), "component")
+    o, made = _named(spark, d)
     return metrics.diff_tags(o.select(F.col("cluster_id").alias("cluster"), "path", F.lit(1).cast("long").alias("start_line"), F.greatest("loc", F.lit(1)).alias("end_line"), "hidden"), metrics.spans(_added(spark, d)))
 
 
@@ -523,17 +551,17 @@ def diff_metrics(spark, d):
 
 @query(f"""WITH {OCC} SELECT cluster_id, CASE WHEN bool_and(file_id >= 500) THEN 'added' ELSE 'updated' END AS change FROM occ JOIN clusters USING (component) GROUP BY cluster_id HAVING bool_and(file_id >= 500) OR bool_or(file_id >= 500)""")
 def report_delta(spark, d):
-    o = _occurrences(spark, d).join(_clusters(spark, d).select("component", "cluster_id"), "component")
+    o, made = _named(spark, d)
     now = o.groupBy("cluster_id").agg(F.count("*").alias("copies"))
     return reports.delta(o.where("file_id < 500").groupBy("cluster_id").agg(F.count("*").alias("copies")), now)
 
 
 @query(f"WITH {OCC} SELECT cluster_id, mass::BIGINT AS mass FROM clusters WHERE kind = 'identical' AND copies >= 2 AND cluster_id IN (SELECT cluster_id FROM occ JOIN clusters USING (component) WHERE language IN ('en', 'de') AND path LIKE '%src1%')")
 def page_filters(spark, d):
-    o = _occurrences(spark, d).join(_clusters(spark, d).select("component", "cluster_id"), "component")
+    o, made = _named(spark, d)
     # both restrictions fall on one occurrence
     o = o.where(F.col("language").isin("en", "de"))
-    return reports.filtered(_clusters(spark, d), o, kinds=["identical"], path="src1", min_size=2).select("cluster_id", "mass")
+    return reports.filtered(made, o, kinds=["identical"], path="src1", min_size=2).select("cluster_id", "mass")
 
 
 @query(f"WITH {OCC}, p AS (SELECT * FROM clusters ORDER BY rank LIMIT 5 OFFSET 2), b AS (SELECT *, coalesce(sum(copies) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) SELECT cluster_id, rank, copies, least(copies, 15 - before)::BIGINT AS shown FROM b WHERE before < 15")
@@ -543,7 +571,8 @@ def page_window(spark, d):
 
 @query(f"WITH {OCC}, t AS (SELECT cluster_id, path, count(*) OVER (PARTITION BY cluster_id) AS occurrences_total, row_number() OVER (PARTITION BY cluster_id ORDER BY path) AS n FROM occ JOIN clusters USING (component)) SELECT cluster_id, path, occurrences_total, occurrences_total > 2 AS truncated FROM t WHERE n <= 2")
 def wire_truncate(spark, d):
-    o = _occurrences(spark, d).join(_clusters(spark, d).select("component", "cluster_id"), "component").withColumn("start_line", F.lit(1))
+    o, made = _named(spark, d)
+    o = o.withColumn("start_line", F.lit(1))
     return reports.truncated(o, 2).select("cluster_id", "path", "occurrences_total", "truncated")
 
 
@@ -658,33 +687,23 @@ def judged_score(spark, d):
 # --- Further views of the same clusters ---
 
 
-@query(f"WITH {WINDOWS}, m AS (SELECT file_id % 10 AS component, file_id, hash AS shape FROM windows WHERE width = 2), f AS (SELECT component, shape, count(*) AS copies FROM m GROUP BY ALL HAVING count(*) >= 2) SELECT * FROM f WHERE component IN (SELECT component FROM f GROUP BY component HAVING count(*) >= 2)")
-def family_split(spark, d):
-    w = fingerprints.sibling_windows(_lines(spark, d)).where("width = 2")
-    return clusters.families(w.select((F.col("file_id") % 10).alias("component"), "file_id", F.col("hash").alias("shape")))
-
-
-@query(f"""WITH {WINDOWS}, s AS (SELECT width % 2 AS component, file_id, start, "end" FROM windows WHERE file_id < 60)
-SELECT a.component, a.file_id, a.start, a."end", count(*) AS held, sum(b."end" - b.start)::BIGINT AS covered FROM s a JOIN s b ON a.component = b.component AND a.file_id = b.file_id AND a.start <= b.start AND b."end" <= a."end" AND (a.start < b.start OR b."end" < a."end")
-GROUP BY ALL HAVING count(*) >= 2 AND sum(b."end" - b.start) >= 2 / 3 * (a."end" - a.start)""")
-def container_election(spark, d):
-    w = fingerprints.sibling_windows(_lines(spark, d)).where("file_id < 60")
-    return clusters.containers(w.select((F.col("width") % 2).alias("component"), "file_id", "start", "end"))
-
-
 def _member_windows(spark, d):
     """The windows of every file of a component."""
     w = fingerprints.sibling_windows(_lines(spark, d))
     return w.join(_roots(spark, d).select(F.col("node").alias("file_id"), F.col("root").alias("component")), "file_id")
 
 
-@query()
-def family_split_components(spark, d):
+MEMBERS = ROOTS + ", " + WINDOWS.removeprefix(LINES + ", ") + ", mw AS (SELECT w.*, root AS component FROM windows w JOIN roots ON node = file_id)"
+
+
+@query(f"WITH {MEMBERS}, f AS (SELECT component, hash AS shape, count(*) AS copies FROM mw WHERE width = 2 GROUP BY ALL HAVING count(*) >= 2) SELECT * FROM f WHERE component IN (SELECT component FROM f GROUP BY component HAVING count(*) >= 2)")
+def family_split(spark, d):
     return clusters.families(_member_windows(spark, d).where("width = 2").select("component", "file_id", F.col("hash").alias("shape")))
 
 
-@query()
-def container_election_components(spark, d):
+@query(f"""WITH {MEMBERS} SELECT a.component, a.file_id, a.start, a."end", count(*) AS held, sum(b."end" - b.start)::BIGINT AS covered FROM mw a JOIN mw b ON a.component = b.component AND a.file_id = b.file_id AND a.start <= b.start AND b."end" <= a."end" AND (a.start < b.start OR b."end" < a."end")
+GROUP BY a.component, a.file_id, a.start, a."end" HAVING count(*) >= 2 AND sum(b."end" - b.start) >= 2 / 3 * (a."end" - a.start)""")
+def container_election(spark, d):
     return clusters.containers(_member_windows(spark, d).select("component", "file_id", "start", "end"))
 
 
@@ -724,8 +743,8 @@ def boilerplate_hints(spark, d):
 
 @query(f"WITH {OCC} SELECT cluster_id, rank, mass::BIGINT AS mass FROM occ JOIN clusters USING (component) WHERE path LIKE 'src1/%'")
 def report_for_file(spark, d):
-    o = _occurrences(spark, d).where(F.col("path").startswith("src1/"))
-    return o.select("component").join(_clusters(spark, d), "component").select("cluster_id", "rank", "mass")
+    o = _occurrences(spark, d)
+    return o.where(F.col("path").startswith("src1/")).select("component").join(_clusters(spark, d, o), "component").select("cluster_id", "rank", "mass")
 
 
 @query(f"WITH {OCC} SELECT cluster_id, kind, copies FROM clusters WHERE cluster_id LIKE (SELECT min(cluster_id)[1:7] FROM clusters) || '%'")
@@ -737,8 +756,9 @@ def cluster_by_prefix(spark, d):
 
 @query(f"WITH {OCC}, i AS (SELECT cluster_id, bool_or(file_id % 3 = 0 AND NOT hidden) AS hit FROM occ JOIN clusters USING (component) GROUP BY ALL) SELECT cluster_id, row_number() OVER (ORDER BY mass DESC, cluster_id) AS rank FROM clusters JOIN i USING (cluster_id) WHERE hit")
 def only_changed(spark, d):
-    hit = _occurrences(spark, d).where("file_id % 3 = 0 AND NOT hidden").select("component")
-    return clusters.ranked(_clusters(spark, d).drop("rank").join(hit, "component", "left_semi"), F.lit(True)).select("cluster_id", "rank")
+    o = _occurrences(spark, d)
+    hit = o.where("file_id % 3 = 0 AND NOT hidden").select("component")
+    return clusters.ranked(_clusters(spark, d, o).drop("rank").join(hit, "component", "left_semi"), F.lit(True)).select("cluster_id", "rank")
 
 
 @query(f"WITH {OCC}, spending AS (SELECT cluster_id, rank, sum(copies) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING)::BIGINT AS spent FROM clusters) SELECT * FROM spending WHERE spent <= 40")
@@ -767,3 +787,72 @@ array_to_string(regexp_extract_all(text, '[^ \n\t\r]+'), ' ') AS txt FROM occ JO
 def noise_literal_variation(spark, d):
     o = _occurrences(spark, d).select("component", "file_id").join(_files(spark, d), "file_id")
     return noise.literal_variation(o.select("component", "file_id", S.words(F.col("text")).alias("words")))
+
+
+# --- Further operators on the same tables ---
+
+
+@query(f"WITH {ROOTS} SELECT root AS component, count(*) AS members, min(node) AS first, max(node) AS last FROM roots GROUP BY root HAVING count(*) >= 2")
+def component_members(spark, d):
+    made = _roots(spark, d).groupBy(F.col("root").alias("component")).agg(F.count("*").alias("members"), F.min("node").alias("first"), F.max("node").alias("last"))
+    return made.where("members >= 2")
+
+
+@query(f"WITH {FILES}, t AS (SELECT file_id, length(text) // 2 AS half, text[1:length(text) // 2] AS head FROM files) SELECT file_id, half, length(head) - length(replace(head, chr(10), '')) + 1 AS line FROM t")
+def offset_lines(spark, d):
+    half = F.floor(F.length("text") / 2)
+    return _files(spark, d).select("file_id", half.alias("half"), S.line_of(F.col("text"), half).alias("line"))
+
+
+@query(f"WITH {DUP}, t AS (SELECT path, {PCT} AS percent FROM pf WHERE duplicated_loc > 0) SELECT path, percent, row_number() OVER (ORDER BY percent DESC, path) AS rank FROM t QUALIFY rank <= 20")
+def metrics_worst_first(spark, d):
+    return metrics.worst_first(metrics.by_file(metrics.analysed(_files(spark, d)), _dup(spark, d)).where("duplicated_loc > 0").select("path", "percent"), 20)
+
+
+@query(f"""WITH {OCC}, i AS (SELECT cluster_id, bool_and(file_id >= 500) AS fresh, bool_or(file_id >= 500) AS grown FROM occ JOIN clusters USING (component) GROUP BY cluster_id),
+c AS (SELECT CASE WHEN fresh THEN 'added' ELSE 'updated' END AS change FROM i WHERE grown) SELECT change, count(*) AS clusters FROM c GROUP BY change""")
+def change_summary(spark, d):
+    return reports.change_summary(QUERIES["report_delta"](spark, d))
+
+
+@query(rf"""WITH {OCC}, m AS (SELECT component, bool_and(hidden) AS allhid, count(DISTINCT text_hash) FILTER (NOT hidden) AS texts, count(*) FILTER (NOT hidden) AS seen FROM occ GROUP BY component)
+SELECT cluster_id, CASE WHEN allhid THEN 'all_hidden' WHEN seen < 2 THEN 'single_visible' END AS hidden_reason FROM m JOIN clusters USING (component)""")
+def cluster_visibility(spark, d):
+    o = _occurrences(spark, d)
+    return clusters.visibility(o).join(_clusters(spark, d, o).select("component", "cluster_id"), "component").select("cluster_id", "hidden_reason")
+
+
+@query(f"""WITH {PAIRS}, n AS (SELECT file_id, hash, count(*) AS n FROM lines GROUP BY ALL), s AS (SELECT file_id, count(*) AS size FROM lines GROUP BY ALL),
+c AS (SELECT p."left", p."right", sum(least(a.n, b.n)) AS both_ FROM pairs p JOIN n a ON a.file_id = p."left" JOIN n b ON b.file_id = p."right" AND b.hash = a.hash GROUP BY ALL)
+SELECT c."left", c."right", round(both_ / greatest(x.size, y.size), 6) AS bound FROM c JOIN s x ON x.file_id = c."left" JOIN s y ON y.file_id = c."right" """)
+def overlap_multiset_bound(spark, d):
+    return measures.multiset_bound(_lines(spark, d), _pairs(spark, d))
+
+
+@query(f'WITH {SCORED} SELECT "left", "right", structural = 0 AND embedding_cos < 0.8 AND token_jaccard >= 0.9 AND fused >= 0.85 AND small >= 30 AND small >= 0.75 * large AS carried FROM fusedp')
+def token_carried_pairs(spark, d):
+    return _scored(spark, d).select("left", "right", candidates.token_carried(F.col("structural"), F.col("token_jaccard"), F.col("embedding_cos"), F.col("small"), F.col("large")).alias("carried"))
+
+
+@query(f"WITH {FILES} SELECT file_id, md5(text) AS content FROM files WHERE file_id % 2 = 1 AND md5(text) NOT IN (SELECT md5(text) FROM files WHERE file_id % 2 = 0)")
+def cache_misses(spark, d):
+    hashed = _files(spark, d).select("file_id", F.md5("text").alias("content"))
+    return changes.cache_misses(hashed.where("file_id % 2 = 1"), hashed.where("file_id % 2 = 0"), "content")
+
+
+@query("""WITH a AS (SELECT conv_id, arg_max(md5(text), turn) AS h FROM conversations WHERE turn <= 1 GROUP BY conv_id), b AS (SELECT conv_id, arg_max(md5(text), turn) AS h FROM conversations GROUP BY conv_id)
+SELECT b.conv_id, CASE WHEN a.h IS NULL THEN 'added' ELSE 'updated' END AS change FROM b LEFT JOIN a USING (conv_id) WHERE a.h IS DISTINCT FROM b.h""")
+def delta_since_generation(spark, d):
+    return changes.since(_table(spark, d, "conversations"), "conv_id", "turn", "text", 1)
+
+
+@query(f"WITH {LITS}, k AS (SELECT file_id, value, TRY_CAST(value AS DOUBLE) AS number FROM lits) SELECT number, CASE WHEN number IS NULL THEN value END AS content, count(*) AS sites, count(DISTINCT value) AS spellings FROM k GROUP BY ALL")
+def literal_keys(spark, d):
+    return literals.keyed(_literals(spark, d))
+
+
+@query(rf"""WITH {WINDOWS}, sh AS (SELECT hash FROM windows WHERE NOT uniform GROUP BY hash HAVING count(DISTINCT file_id) > 1) SELECT hash, file_id, min(start) AS first_start FROM windows JOIN sh USING (hash) GROUP BY ALL""")
+def earliest_places(spark, d):
+    w = fingerprints.sibling_windows(_lines(spark, d))
+    shared = w.where("NOT uniform").groupBy("hash").agg(F.countDistinct("file_id").alias("n")).where("n > 1").select("hash")
+    return w.join(shared, "hash").groupBy("hash", "file_id").agg(F.min("start").alias("first_start"))

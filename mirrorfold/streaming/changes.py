@@ -52,3 +52,16 @@ def debounced(stream: DataFrame, quiet: str = "250 milliseconds", late: str = "2
     """Structured Streaming: (ts, root, path) -> flushes of a root's distinct, sorted paths after each quiet gap."""
     flushes = stream.withWatermark("ts", late).groupBy(F.session_window("ts", quiet).alias("w"), "root").agg(F.sort_array(F.collect_set("path")).alias("paths"))
     return flushes.select("root", "w.start", "w.end", "paths")
+
+
+def cache_misses(wanted: DataFrame, cache: DataFrame, key: str) -> DataFrame:
+    """Rows whose content the cache lacks."""
+    return wanted.join(cache.select(key).distinct(), key, "left_anti").select(wanted.columns)
+
+
+def since(log: DataFrame, path: str, version: str, text: str, generation: int) -> DataFrame:
+    """path, change: paths that are new or other than they were at a generation; the log keeps every version."""
+    at = lambda rows, name: rows.groupBy(path).agg(F.max_by(F.md5(text), version).alias(name))
+    then, now = at(log.where(F.col(version) <= generation), "then"), at(log, "now")
+    both = now.join(then, path, "left").where(~F.col("now").eqNullSafe(F.col("then")))
+    return both.select(path, F.when(F.col("then").isNull(), "added").otherwise("updated").alias("change"))

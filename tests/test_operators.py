@@ -190,7 +190,12 @@ def test_literals(spark):
 def test_exclusions(spark):
     assert value(spark, exclusions.excluded(F.lit("a/Node_Modules/b"))) and not value(spark, exclusions.excluded(F.lit("a/node_modules/b"), dependencies=True))
     assert value(spark, exclusions.minified(F.lit("a.min.js"), F.lit("x"))) and value(spark, exclusions.minified(F.lit("a.js"), F.lit("x" * 20_000))) and not value(spark, exclusions.minified(F.lit("a.js"), F.lit("x\n" * 20_000)))
-    assert value(spark, exclusions.generated(F.lit("// Code GENERATED by x\n"))) and not value(spark, exclusions.generated(F.lit("\n" * 9 + "code generated")))
+    assert value(spark, exclusions.generated(F.lit("\n// Code  GENERATED by x. DO NOT EDIT.\nx"))) and value(spark, exclusions.generated(F.lit("/* @generated */\n"))) and not value(spark, exclusions.generated(F.lit("x\n// @generated")))
+    assert not value(spark, exclusions.generated(F.lit("this file is generated by hand, do not edit"))) and not value(spark, exclusions.generated(F.lit("// // @generated")))
+    hidden = {"a/Generated/b.py": True, "x/tests/fixtures/y.py": True, "tests/x/fixtures/y": False, "a/b.pb.cs": True, "a/b.cs": False, "": False}
+    assert {p: value(spark, exclusions.report_hidden(F.lit(p))) for p in hidden} == hidden
+    paths = {"a/../b": True, "a/../../b": False, "/a": False, "..": False, "a/./b": True}
+    assert {p: value(spark, exclusions.contained(F.lit(p))) for p in paths} == paths
 
 
 def test_incremental_equals_cold(spark):
