@@ -34,8 +34,13 @@ def ranked(clusters: DataFrame, clone: Column) -> DataFrame:
 
 
 def ids(occurrences: DataFrame) -> DataFrame:
-    """component, cluster_id: 16 hexadecimal digits of the shape and the sorted paths, an ordinal where both recur."""
-    source = occurrences.groupBy("component").agg(F.min("shape").alias("shape"), F.array_join(F.sort_array(F.collect_list("path")), "\n").alias("paths"))
+    """component, cluster_id: 16 hexadecimal digits of the shape and the set of paths, an ordinal where both recur.
+
+    The paths enter by their number and by sums of two hashes each, in any order: no component's paths are
+    gathered in one row.
+    """
+    sums = [F.sum(F.conv(F.substring(F.md5("path"), at, 7), 16, 10).cast("long")).cast("string") for at in (1, 8)]
+    source = occurrences.groupBy("component").agg(F.min("shape").alias("shape"), F.concat_ws("|", F.count("*").cast("string"), *sums).alias("paths"))
     ordinal = F.row_number().over(Window.partitionBy("shape", "paths").orderBy("component")) - 1
     text = F.concat_ws("\n", "shape", "paths", F.when(F.col("ordinal") > 0, F.col("ordinal").cast("string")))
     return source.withColumn("ordinal", ordinal).select("component", F.substring(F.sha2(text, 256), 1, 16).alias("cluster_id"))

@@ -120,7 +120,7 @@ OCC = ROOTS + (
     r""", occ AS (SELECT root AS component, file_id, path, language, len(regexp_extract_all(text, '[^ \n\t\r]+')) AS nodes, md5(text) AS text_hash, file_id % 7 = 0 AS hidden,
   (length(text) - length(replace(text, chr(10), '')) + CASE WHEN length(text) > 0 AND right(text, 1) <> chr(10) THEN 1 ELSE 0 END)::BIGINT AS loc FROM roots JOIN files ON node = file_id),
 mass AS (SELECT component, count(*) AS copies, min(nodes) AS canonical_nodes, min(nodes) * greatest(count(*) FILTER (NOT hidden) - 1, 0) AS mass, min(text_hash) AS shape, count(DISTINCT text_hash) AS texts,
-  string_agg(path, chr(10) ORDER BY path) AS paths FROM occ GROUP BY component HAVING count(*) >= 2),
+  count(*) || '|' || sum(('0x' || substr(md5(path), 1, 7))::BIGINT) || '|' || sum(('0x' || substr(md5(path), 8, 7))::BIGINT) AS paths FROM occ GROUP BY component HAVING count(*) >= 2),
 ided AS (SELECT *, row_number() OVER (PARTITION BY shape, paths ORDER BY component) - 1 AS ordinal FROM mass),
 cl AS (SELECT *, substr(sha256(shape || chr(10) || paths || CASE WHEN ordinal > 0 THEN chr(10) || ordinal ELSE '' END), 1, 16) AS cluster_id, CASE WHEN texts = 1 THEN 'identical' ELSE 'nearly_identical' END AS kind,
   CASE WHEN mass >= 1000 THEN 'high' WHEN mass >= 100 THEN 'medium' ELSE 'low' END AS severity FROM ided),

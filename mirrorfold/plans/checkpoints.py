@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where none is set (local runs)."""
+    """spark.checkpoint.dir; where none is set, a temporary folder in a local run and an error on a cluster, whose executors share no such folder."""
     sc = spark.sparkContext
     told = spark.conf.get("spark.checkpoint.dir", None)
     if not told and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="mirrorfold-"))
     return told or sc.getCheckpointDir()
 
