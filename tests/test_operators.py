@@ -277,7 +277,7 @@ def test_literal_bound_of_whole_texts(spark, tmp_path):
     texts = [f"{line}\n" + " ".join(f"{c}{k}" for k in range(300)) for c in "bc"]
     spark.createDataFrame([(k, t, "en", "web", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     x, y = ({t[k : k + 8] for k in range(len(t) - 7)} for t in texts)
-    assert [tuple(r) for r in catalogue.QUERIES["literal_bound_whole"](spark, str(tmp_path)).collect()] == [(0, 1, round(len(x & y) / len(x | y), 6))]
+    assert [tuple(r) for r in catalogue.QUERIES["literal_bound"](spark, str(tmp_path)).collect()] == [(0, 1, round(len(x & y) / len(x | y), 6))]
 
 
 def test_families_and_containers_of_components(spark, tmp_path):
@@ -288,12 +288,12 @@ def test_families_and_containers_of_components(spark, tmp_path):
     root = {3: 3, 71: 3, 905: 3, 64: 64, 66: 64}
     windows = [r for r in fingerprints.sibling_windows(catalogue._lines(spark, str(tmp_path))).collect() if r["file_id"] in root]
     shapes = collections.Counter((root[r["file_id"]], r["hash"]) for r in windows if r["width"] == 2)
-    got = [tuple(r) for r in catalogue.QUERIES["family_split_components"](spark, str(tmp_path)).select("component", "shape", "copies").collect()]
+    got = [tuple(r) for r in catalogue.QUERIES["family_split"](spark, str(tmp_path)).select("component", "shape", "copies").collect()]
     assert len(shapes) == 8 and sorted(got) == sorted((c, h, n) for (c, h), n in shapes.items())
     want = set()
     for a in windows:
         inside = [b["end"] - b["start"] for b in windows if b["file_id"] == a["file_id"] and a["start"] <= b["start"] and b["end"] <= a["end"] and (a["start"], a["end"]) != (b["start"], b["end"])]
         if len(inside) >= 2 and 3 * sum(inside) >= 2 * (a["end"] - a["start"]):
             want.add((root[a["file_id"]], a["file_id"], a["start"], a["end"], len(inside), sum(inside)))
-    got = catalogue.QUERIES["container_election_components"](spark, str(tmp_path)).select("component", "file_id", "start", "end", "held", "covered").collect()
+    got = catalogue.QUERIES["container_election"](spark, str(tmp_path)).select("component", "file_id", "start", "end", "held", "covered").collect()
     assert want and {tuple(r) for r in got} == want and len(got) == len(want) and {r["file_id"] for r in got} == set(root)
