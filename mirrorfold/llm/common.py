@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorfold.plans.checkpoints import cut, shared_dir
+from mirrorfold.plans import checkpoints
+from mirrorfold.plans.checkpoints import shared_dir
 
 __all__ = ["Memory", "cut", "drop", "held", "need", "release", "remainder", "remainder_col", "scratch", "shared_dir", "spare", "table", "texts_of", "width"]
 
@@ -22,6 +23,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH = 8 << 20  # bytes of an Arrow batch, which a task holds on both sides of its Python worker
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise and forget the lineage, in Arrow batches of about BATCH bytes; the session's own bound holds if it is lower."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = conf.get(name)
+    conf.set(name, str(min(BATCH, df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(own))))
+    try:
+        return checkpoints.cut(df)
+    finally:
+        conf.set(name, own)
+
+
 _FOLDERS: list[str] = []
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from mirrorfold.llm import hmm, mixing, neardup, pii, shingles, topk, toxicity
-from mirrorfold.llm.common import remainder
+from mirrorfold.llm.common import BATCH, cut, remainder
 
 WORDS = [f"w{k}" for k in range(60)]
 
@@ -19,6 +19,24 @@ def shingled(text, width):
     return {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
 
 
+@pytest.mark.parametrize("own", ["64m", "1m"])
+def test_cut_bounds_arrow_batches(spark, own):
+    def sizes(batches):
+        for b in batches:
+            yield b.from_pydict({"bytes": [b.nbytes], "rows": [b.num_rows]})
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, own)
+    try:
+        wide = spark.range(0, 3000, 1, 1).selectExpr("repeat(cast(id % 10 AS string), 8192) AS x")
+        made = cut(wide.mapInArrow(sizes, "bytes long, rows long")).collect()
+        assert spark.conf.get(name) == own
+    finally:
+        spark.conf.set(name, before)
+    assert sum(r.rows for r in made) == 3000 and max(r.bytes for r in made) < 1.2 * min(BATCH, int(own[:-1]) << 20)
+
+
 def near_corpus():
     draw, rows = random.Random(5), []
     for family in range(6):
