@@ -47,6 +47,31 @@ def exact_jaccard(grams: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.withColumn("jaccard", F.when(union == 0, F.lit(1.0)).otherwise(F.round(F.col("common") / union, 6)))
 
 
+def gram_sets(grams: DataFrame) -> DataFrame:
+    """file_id, n, gram_set: a key that files of equal gram sets share. A file's grams meet in one row, as its text does."""
+    return grams.groupBy("file_id").agg(F.count("*").alias("n"), F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("gram"))), 256).alias("gram_set"))
+
+
+def copy_recovery(grams: DataFrame, roots: DataFrame, least: int = 85) -> DataFrame:
+    """left, right, left_root, right_root, jaccard: the links of `least` percent that components (node, root) leave open.
+
+    Stars miss near copies whose every shared gram also stands in an earlier, alien file. Of its distinct
+    grams, rarest first, a file shows so many that any partner of `least` percent must share one; files of
+    different components that meet there and are long enough for each other are measured on whole sets.
+    Files of equal sets are one component already: the least speaks for all. Grams of a big family are
+    common, so they are shown only where a file has little else, and members of one component never meet.
+    """
+    one = gram_sets(grams).groupBy("gram_set").agg(F.min("file_id").alias("file_id"), F.min("n").alias("n")).drop("gram_set")
+    mine = grams.join(one, "file_id")
+    ranked = mine.join(mine.groupBy("gram").agg(F.count("*").alias("files")), "gram").withColumn("place", F.row_number().over(Window.partitionBy("file_id").orderBy("files", "gram")))
+    shown = ranked.where(F.expr(f"files > 1 and place <= n - ceil({least} * n / 100.0) + 1")).join(roots.select(F.col("node").alias("file_id"), "root"), "file_id", "left").withColumn("root", F.coalesce("root", "file_id"))
+    side = lambda name: shown.select("gram", F.col("file_id").alias(name), F.col("root").alias(f"{name}_root"), F.col("n").alias(f"{name}_n"))
+    fits = F.expr(f"left < right and left_root <> right_root and 100 * least(left_n, right_n) >= {least} * greatest(left_n, right_n)")
+    met = side("left").join(side("right"), "gram").where(fits).select("left", "right", "left_root", "right_root").distinct()
+    links = exact_jaccard(grams, met.select("left", "right")).where(100 * F.col("common") >= least * (F.col("n_left") + F.col("n_right") - F.col("common")))
+    return met.join(links.select("left", "right", "jaccard"), ["left", "right"])
+
+
 def merged(*sources: DataFrame) -> DataFrame:
     """Union of (left, right, structural, token_jaccard, embedding_cos, source): the best of each axis, the sources as bits."""
     every = sources[0]

@@ -38,3 +38,10 @@ def components(edges: DataFrame) -> DataFrame:
         now, n, check = new, n_new, check_new
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return leaves.unionByName(leaves.select(F.col("root").alias("node"), "root").distinct())
+
+
+def welded(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, root) after links (left_root, right_root) between them; an end in no component is its own."""
+    more = components(links.select(F.col("left_root").alias("u"), F.col("right_root").alias("v")))
+    moved = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return moved.unionByName(more.join(roots.select("node"), "node", "left_anti"))

@@ -58,9 +58,19 @@ def _scored(spark, d):
     return joined.select("left", "right", (F.col("ha") == F.col("hb")).cast("double").alias("structural"), F.col("jaccard").alias("token_jaccard"), F.round(F.coalesce(S.cosine(F.col("ea"), F.col("eb")), F.lit(0.0)), 6).alias("embedding_cos"), F.least("na", "nb").alias("small"), F.greatest("na", "nb").alias("large"))
 
 
-def _roots(spark, d):
+def _starred(spark, d):
+    """Components of the candidates that fuse high enough, of equal texts with words and of equal sets of lines."""
     kept = _scored(spark, d).where(S.fused(F.col("structural"), F.col("token_jaccard"), F.col("embedding_cos")) >= S.FUSED)
-    return closure.components(kept.select(F.col("right").alias("u"), F.col("left").alias("v")))
+    texts = candidates.stars(_files(spark, d).where(F.size(S.words(F.col("text"))) > 0).select("file_id", F.md5("text").alias("hash")), "hash")
+    lines = candidates.stars(candidates.gram_sets(_grams(spark, d)), "gram_set")
+    edges = [x.select(F.col("right").alias("u"), F.col("left").alias("v")) for x in (kept, texts, lines)]
+    return closure.components(edges[0].unionByName(edges[1]).unionByName(edges[2]))
+
+
+def _roots(spark, d):
+    """Components of all links: those of _starred, welded where copy recovery finds a link between two of them."""
+    first = _starred(spark, d)
+    return closure.welded(first, candidates.copy_recovery(_grams(spark, d), first))
 
 
 def _occurrences(spark, d, roots=None):
@@ -112,9 +122,20 @@ scored AS (SELECT j."left", j."right", (a.h = b.h)::INT::DOUBLE AS structural, j
   LEFT JOIN embeddings va ON va.vec_id = j."left" LEFT JOIN embeddings vb ON vb.vec_id = j."right"),
 fusedp AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, structural, token_jaccard, embedding_cos)) AS fused FROM scored)"""
 )
-ROOTS = "RECURSIVE " + SCORED + (
-    ', e AS (SELECT "left" AS u, "right" AS v FROM fusedp WHERE fused >= 0.85 UNION SELECT "right", "left" FROM fusedp WHERE fused >= 0.85), '
-    "r AS (SELECT u AS node, u AS low FROM e UNION SELECT e.v, r.low FROM r JOIN e ON e.u = r.node), roots AS (SELECT node, min(low) AS root FROM r GROUP BY node)"
+# every pair of files that share a line, against which the components are held
+LINKS = (
+    ", linked AS (SELECT l, r, round(common / (x.n + y.n - common), 6) AS jaccard FROM (SELECT a.file_id AS l, b.file_id AS r, count(*) AS common FROM grams a JOIN grams b USING (gram) WHERE a.file_id < b.file_id GROUP BY ALL) "
+    "JOIN sizes x ON x.file_id = l JOIN sizes y ON y.file_id = r WHERE 100 * common >= 85 * (x.n + y.n - common)), "
+    'star AS (SELECT "left" AS l, "right" AS r FROM fusedp WHERE fused >= 0.85 UNION SELECT min(file_id) OVER (PARTITION BY h), file_id FROM words WHERE n > 0)'
+)
+ROOTS = "RECURSIVE " + SCORED + LINKS + (
+    ", e AS (SELECT l AS u, r AS v FROM (SELECT l, r FROM star UNION SELECT l, r FROM linked) WHERE l <> r), both_ways AS (SELECT u, v FROM e UNION SELECT v, u FROM e), "
+    "r AS (SELECT u AS node, u AS low FROM both_ways UNION SELECT b.v, r.low FROM r JOIN both_ways b ON b.u = r.node), roots AS (SELECT node, min(low) AS root FROM r GROUP BY node)"
+)
+RECOVERED = "RECURSIVE " + SCORED + LINKS + (
+    ", sets AS (SELECT file_id, string_agg(gram, ',' ORDER BY gram) AS s FROM grams GROUP BY file_id), first AS (SELECT file_id, min(file_id) OVER (PARTITION BY s) AS one FROM sets), "
+    "e AS (SELECT l AS u, r AS v FROM star UNION SELECT one, file_id FROM first), both_ways AS (SELECT u, v FROM e UNION SELECT v, u FROM e), "
+    "r AS (SELECT u AS node, u AS low FROM both_ways UNION SELECT b.v, r.low FROM r JOIN both_ways b ON b.u = r.node), starred AS (SELECT node, min(low) AS root FROM r GROUP BY node)"
 )
 OCC = ROOTS + (
     r""", occ AS (SELECT root AS component, file_id, path, language, len(regexp_extract_all(text, '[^ \n\t\r]+')) AS nodes, md5(text) AS text_hash, file_id % 7 = 0 AS hidden,
@@ -315,6 +336,12 @@ def embedding_role_guard(spark, d):
     return _pairs(spark, d).join(a, "left").join(b, "right").select("left", "right", (F.col("x") != F.col("y")).alias("mismatch"))
 
 
+@query(f"""WITH {RECOVERED} SELECT l AS "left", r AS "right", x.root AS left_root, y.root AS right_root, jaccard FROM linked JOIN starred x ON x.node = l JOIN starred y ON y.node = r
+  WHERE x.root <> y.root AND l IN (SELECT one FROM first) AND r IN (SELECT one FROM first)""")
+def copy_recovery(spark, d):
+    return candidates.copy_recovery(_grams(spark, d), _starred(spark, d))
+
+
 @query(f"WITH {ROOTS} SELECT node, root FROM roots")
 def components(spark, d):
     return _roots(spark, d)

@@ -297,3 +297,31 @@ def test_families_and_containers_of_components(spark, tmp_path):
             want.add((root[a["file_id"]], a["file_id"], a["start"], a["end"], len(inside), sum(inside)))
     got = catalogue.QUERIES["container_election"](spark, str(tmp_path)).select("component", "file_id", "start", "end", "held", "covered").collect()
     assert want and {tuple(r) for r in got} == want and len(got) == len(want) and {r["file_id"] for r in got} == set(root)
+
+
+def test_copy_recovery_leaves_no_link_open(spark):
+    rng = np.random.default_rng(5)
+    common = [f"c{k}" for k in range(30)]
+    sets, k = {}, 100
+    for line in common:  # an earlier, alien file for each line
+        sets[len(sets)] = {line, f"own{len(sets)}", f"other{len(sets)}"}
+    for _ in range(60):
+        base = set(rng.choice(common, 20, replace=False))
+        sets[k], sets[k + 1], sets[k + 2] = base, base - {min(base)}, set(rng.choice(common, 20, replace=False))
+        k += 3
+    sets[k] = set(sets[100])
+    grams = spark.createDataFrame([(f, g) for f, s in sets.items() for g in s], "file_id long, gram string")
+    alike = candidates.stars(candidates.gram_sets(grams), "gram_set")
+    first = closure.components(alike.select(F.col("left").alias("u"), F.col("right").alias("v")))
+    got = closure.welded(first, candidates.copy_recovery(grams, first))
+    want = {f: f for f in sets}
+    find = lambda f: f if want[f] == f else find(want[f])
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                want[y] = x
+    size = collections.Counter(find(f) for f in sets)
+    assert {r.node: r.root for r in got.collect()} == {f: find(f) for f in sets if size[find(f)] > 1}
+    empty = grams.where("false")
+    assert candidates.copy_recovery(empty, first).count() == 0
