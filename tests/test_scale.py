@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from mirrorfold.operators import signatures
+from mirrorfold.operators import fingerprints, signatures
 from mirrorfold.plans import catalogue
 
 
@@ -59,3 +59,16 @@ def test_estimates_of_an_id_with_two_texts(spark, folder, name, slots):
 def test_bands_are_rows_of_their_own_slots(spark):
     s = spark.createDataFrame([(1, list(range(8)))], "file_id long, signature array<int>")
     assert [(r["band"], r["key"]) for r in signatures.bands(s, 8, 4).collect()] == [(0, [0, 1, 2, 3]), (1, [4, 5, 6, 7])]
+
+
+def test_kgrams_stay_where_their_text_is_read(spark, folder):
+    from hashlib import md5
+
+    f = fingerprints.files(spark.read.parquet(f"{folder[0]}/documents.parquet").where("doc_id <> 22"))
+    assert "Generate" not in plan(fingerprints.gram_digests(f)) and "Join" not in plan(fingerprints.gram_digests(f))
+    want = {}
+    for i, t in folder[1]:
+        n, x = want.get(i, (0, set()))
+        want[i] = n + max(0, len((t or "").split()) - 4), x | grams(t, 5)
+    got = {r["file_id"]: (r["grams"], r["distinct_grams"], r["least"]) for r in catalogue.QUERIES["token_kgrams"](spark, folder[0]).collect()}
+    assert got == {i: (n, len(x), min(md5(g.encode()).hexdigest() for g in x)) for i, (n, x) in want.items() if n}
