@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from mirrorfold.operators import fingerprints, signatures
+from mirrorfold.operators import candidates, fingerprints, signatures
 from mirrorfold.plans import catalogue
 
 
@@ -72,3 +72,22 @@ def test_kgrams_stay_where_their_text_is_read(spark, folder):
         want[i] = n + max(0, len((t or "").split()) - 4), x | grams(t, 5)
     got = {r["file_id"]: (r["grams"], r["distinct_grams"], r["least"]) for r in catalogue.QUERIES["token_kgrams"](spark, folder[0]).collect()}
     assert got == {i: (n, len(x), min(md5(g.encode()).hexdigest() for g in x)) for i, (n, x) in want.items() if n}
+
+
+def test_contamination_sifts_before_the_shuffle(spark, folder):
+    assert "Generate" not in plan(catalogue.QUERIES["benchmark_contamination"](spark, folder[0]))
+    items = {r["item_id"]: grams(r["text"], 13) for r in spark.read.parquet(f"{folder[0]}/benchmark.parquet").collect()}
+    docs = {}
+    for i, t in folder[1]:
+        docs.setdefault(i, set()).update(grams(t, 13))
+    got = {(r["item_id"], r["doc_id"]): r["shared"] for r in catalogue.QUERIES["benchmark_contamination"](spark, folder[0]).collect()}
+    assert got == {(i, d): len(x & y) for i, x in items.items() for d, y in docs.items() if x & y} and got
+
+
+def test_contamination_where_every_bit_is_marked(spark, folder, monkeypatch):
+    from mirrorfold.functions import texts
+
+    monkeypatch.setattr(texts, "gram_bits", lambda *_: b"\xff" * (texts.BITS // 8))
+    want = catalogue.QUERIES["benchmark_contamination"](spark, folder[0]).collect()
+    few, many = spark.read.parquet(f"{folder[0]}/benchmark.parquet"), spark.read.parquet(f"{folder[0]}/documents.parquet")
+    assert sorted(want) == sorted(candidates.shared_grams(few, many, "item_id", "doc_id", 13).collect())
