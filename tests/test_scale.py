@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from mirrorfold.operators import candidates, fingerprints, signatures
 from mirrorfold.plans import catalogue
@@ -91,3 +92,49 @@ def test_contamination_where_every_bit_is_marked(spark, folder, monkeypatch):
     want = catalogue.QUERIES["benchmark_contamination"](spark, folder[0]).collect()
     few, many = spark.read.parquet(f"{folder[0]}/benchmark.parquet"), spark.read.parquet(f"{folder[0]}/documents.parquet")
     assert sorted(want) == sorted(candidates.shared_grams(few, many, "item_id", "doc_id", 13).collect())
+
+
+@pytest.fixture
+def linked(spark, tmp_path):
+    """Documents of families: copies, near copies of equal and of uneven length, alone; with vectors."""
+    line = lambda k: " ".join(f"w{k}x{j}" for j in range(9))
+    base = [[line(100 * k + j) for j in range(12)] for k in range(4)]
+    rows = [(k, "\n".join(b)) for k, b in enumerate(base)] + [(10, "\n".join(base[0])), (11, "\n".join([*base[1][:11], line(900)])), (12, "\n".join(base[1])), (13, "\n".join([*base[2], line(901)])), (14, ""), (15, None), (16, "\n")]
+    spark.createDataFrame([(i, t, "en", "src1") for i, t in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0, 2.0]) for i in (1, 11)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    return str(tmp_path), dict(rows)
+
+
+ON_COMPONENTS = ["merge_holes", "existing_places", "metrics_repo", "kind_fold", "metrics_kind", "report_delta", "occurrence_budget", "page_window", "cluster_visibility", "component_members", "metrics_folder", "threshold_verdict"]
+
+
+@pytest.mark.parametrize("name", ON_COMPONENTS)
+def test_components_read_each_text_once(spark, linked, monkeypatch, name):
+    from mirrorfold.functions import texts
+
+    called, facts = [], texts.facts
+    monkeypatch.setattr(texts, "facts", lambda *a: called.append(a) or facts(*a))
+    told = plan(catalogue.QUERIES[name](spark, linked[0]))
+    assert len(called) == 1 and "regexp" not in told and "MapIn" not in told
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_holes_of_even_members(spark, linked, monkeypatch, few):
+    monkeypatch.setattr(catalogue, "FEW", few)
+    a, b = (linked[1][i].split(" ") for i in (1, 11))
+    want = {(1, k + 1, 2) for k, (x, y) in enumerate(zip(a, b, strict=True)) if x != y}
+    assert {(r["component"], r["pos"], r["fillings"]) for r in catalogue.QUERIES["merge_holes"](spark, linked[0]).collect()} == want and want
+
+
+def test_facts_are_the_column_functions(spark):
+    from mirrorfold.functions import scalars as S
+    from mirrorfold.functions import texts
+
+    rows = ["", None, "\n", "a b\tc d e f g\nx", "a\x0bb c\x0cd e f g h i\r\n\n", "ä ö\u00a0ü é è ê ë ì\n" * 2, "  a  b "]
+    f = spark.createDataFrame([(i, "p", "en", t) for i, t in enumerate(rows)], "file_id long, path string, language string, text string")
+    got = {r["file_id"]: (r["h"], r["n"], r["loc"], r["parts"], sorted(r["grams"])) for r in texts.facts(f, 8).collect()}
+    lines = {}
+    for r in fingerprints.lines(f).where("nodes >= 8").collect():
+        lines.setdefault(r["file_id"], set()).add(r["hash"])
+    for r in f.select("file_id", F.md5("text").alias("h"), F.size(S.words(F.col("text"))).alias("n"), S.line_count(F.col("text")).alias("loc"), F.size(F.split("text", " ", -1)).alias("parts")).collect():
+        assert got[r["file_id"]] == (r["h"], r["n"], r["loc"], r["parts"], sorted(lines.get(r["file_id"], ())))
