@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,31 @@ def test_contamination_where_every_bit_is_marked(spark, folder, monkeypatch):
     assert sorted(want) == sorted(candidates.shared_grams(few, many, "item_id", "doc_id", 13).collect())
 
 
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbours_are_dealt_by_query_once(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8])], "vec_id long, embedding array<double>")
+    told = executed(candidates.neighbours(v, least=0.0))
+    assert told.count("hashpartitioning(query_id") == 1 and candidates.BLOCK >= 16_384
+
+
+@pytest.mark.parametrize("least", [0.0, 0.2])
+def test_sifted_neighbours_keep_ties(spark, least):
+    """Many alike, opposite, zero and non-finite vectors, ties at 0 and at 1 to the least id."""
+    draw = np.random.default_rng(11)
+    v = {i: draw.normal(size=8) for i in range(300)} | {i: np.ones(8) for i in range(300, 420)} | {420: np.zeros(8), 421: -np.ones(8), 422: np.full(8, np.nan), 423: np.full(8, np.inf)}
+    got = {}
+    for r in candidates.neighbours(spark.createDataFrame([(i, x.tolist()) for i, x in v.items()], "vec_id long, embedding array<double>"), least=least).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["cosine"]))
+    fine = {i: x / (np.linalg.norm(x) or 1) for i, x in v.items() if np.isfinite(x).all()}
+    for i, x in fine.items():
+        near = sorted((-round(min(1.0, max(0.0, float(x @ y))), 6), j) for j, y in fine.items() if j != i)[:5]
+        assert sorted(got.pop(i, [])) == [(k + 1, j, -c) for k, (c, j) in enumerate(near) if -c >= least]
+    assert not got
+
+
 @pytest.fixture
 def linked(spark, tmp_path):
     """Documents of families: copies, near copies of equal and of uneven length, alone; with vectors."""
