@@ -32,6 +32,15 @@ def test_words_give_the_ids_of_the_whole(text):
     assert tokens.encoder(tokens.default_tokenizer()).ids(text.encode()) == struct.pack(f"<{len(ids)}I", *ids)
 
 
+def test_letters_go_to_the_model_alone():
+    made, asked = tokens.WordEncoder(tokens.default_tokenizer()), []
+    ask, made._ask = made._ask, lambda texts: asked.extend(texts) or ask(texts)
+    text = "Every ÉCLAIR façade ßtraße ÿñÞð, the dog's 12 cats!"
+    ids = plain_ids(text)
+    assert made.ids(text.encode()) == struct.pack(f"<{len(ids)}I", *ids)
+    assert sorted(asked) == ["!", "'s", ",", "1", "2"]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 9), max_size=12))
 def test_plan_is_best_fit_decreasing(counts):
