@@ -134,43 +134,42 @@ class Model:
     def forward(self, kinds: np.ndarray, firsts: np.ndarray, lengths: np.ndarray, keep: bool = False):
         """Natural log likelihoods of documents by descending length, by the scaled forward recursion.
 
-        keep: also the scaled forward rows and scales at each place, for as many documents as reach it.
+        What needs no recursion is worked out for all places at once, place by place of as many documents as reach it.
+        keep: also where a place's rows end, their kinds, emissions, scaled forward rows and scales.
         """
-        emit = np.ascontiguousarray(self.emits.T)
         reach = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # documents longer than t
-        total, alpha, kept = np.zeros(len(firsts)), None, []
-        for t, n in enumerate(reach.tolist()):
-            e = emit[kinds[firsts[:n] + t]]
-            alpha = (self.start if alpha is None else alpha[:n] @ self.moves) * e
-            scale = alpha.sum(axis=1)
-            alpha = alpha / scale[:, None]
-            total[:n] += np.log(scale)
-            if keep:
-                kept.append((alpha, scale, e))
-        return (total, kept) if keep else total
+        ends = np.cumsum(reach)
+        doc = np.arange(ends[-1]) - np.repeat(ends - reach, reach)
+        kind = kinds[firsts[doc] + np.repeat(np.arange(len(reach)), reach)]
+        e = np.ascontiguousarray(self.emits.T)[kind]
+        alphas, scales, ones = np.empty_like(e) if keep else None, np.empty(len(e)), np.ones(len(self.start))
+        at, alpha = 0, None
+        for end in ends.tolist():
+            alpha = (self.start if alpha is None else alpha[: end - at] @ self.moves) * e[at:end]
+            scale = np.dot(alpha, ones, out=scales[at:end])
+            alpha = np.divide(alpha, scale[:, None], out=alphas[at:end] if keep else alpha)
+            at = end
+        total = np.bincount(doc, np.log(scales), len(firsts))
+        return (total, (ends, kind, e, alphas, scales)) if keep else total
 
     def gather(self, kinds: np.ndarray, firsts: np.ndarray, lengths: np.ndarray, into: list[np.ndarray]) -> None:
         """Add the documents' expected counts of starts, moves and emissions."""
-        _, kept = self.forward(kinds, firsts, lengths, keep=True)
+        _, (ends, kind, ahead, alphas, scales) = self.forward(kinds, firsts, lengths, keep=True)
         starts, moves, emits = into
-        beta, gammas, seen = None, [], []
-        for t in range(len(kept) - 1, -1, -1):
-            alpha, scale, e = kept[t]
-            n = len(alpha)
-            now = np.ones((n, len(self.start)))
-            if beta is not None:
-                now[: len(beta)] = beta
-            gammas.append(alpha * now)
-            seen.append(kinds[firsts[:n] + t])
-            if t:
-                ahead = e * now / scale[:, None]
-                moves += kept[t - 1][0][:n].T @ ahead * self.moves
-                beta = ahead @ self.moves.T
-            else:
-                starts += gammas[-1].sum(axis=0)
-        gamma, kind = np.concatenate(gammas), np.concatenate(seen)
+        ahead /= scales[:, None]
+        betas, back = np.ones_like(alphas), np.ascontiguousarray(self.moves.T)
+        at = [0, *ends.tolist()]
+        for t in range(len(ends) - 1, 0, -1):
+            here = ahead[at[t] : at[t + 1]]
+            here *= betas[at[t] : at[t + 1]]
+            np.matmul(here, back, out=betas[at[t - 1] : at[t - 1] + len(here)])
+        n = np.diff(at)
+        before = np.arange(at[1], at[-1]) - np.repeat(n[:-1], n[1:])  # the same document's row a place earlier
+        moves += alphas[before].T @ ahead[at[1] :] * self.moves
+        betas *= alphas
+        starts += betas[: at[1]].sum(axis=0)
         for s in range(len(self.start)):
-            emits[s] += np.bincount(kind, gamma[:, s], emits.shape[1])
+            emits[s] += np.bincount(kind, betas[:, s], emits.shape[1])
 
     def learnt(self, starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, shares: np.ndarray) -> Model:
         """The model of the counts. States also saw PRIOR tokens by the corpus shares; the unknown class, which no

@@ -330,3 +330,19 @@ def test_language_model(spark):
             better.append(r["score"] - r["base_score"])
     assert np.mean(better) > 0
     assert hmm.scored(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_recursions_look_up_a_batch_at_once():
+    class Counted(np.ndarray):
+        asked = 0
+
+        def __getitem__(self, at):
+            Counted.asked += 1
+            return super().__getitem__(at)
+
+    lengths = np.array([300, 7, 7, 1])
+    firsts, kinds = np.cumsum(lengths) - lengths, np.random.default_rng(5).integers(0, 9, lengths.sum()).astype(np.uint16)
+    model, into = hmm.Model.first(np.full(9, 1 / 9)), [np.zeros(4), np.zeros((4, 4)), np.zeros((4, 9))]
+    model.gather(kinds.view(Counted), firsts, lengths, into)
+    assert Counted.asked < 10
+    assert into[0].sum() == pytest.approx(4) and into[1].sum() == pytest.approx(lengths.sum() - 4) and into[2].sum(axis=0) == pytest.approx(np.bincount(kinds, minlength=9))
