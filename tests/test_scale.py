@@ -164,3 +164,21 @@ def test_facts_are_the_column_functions(spark):
         lines.setdefault(r["file_id"], set()).add(r["hash"])
     for r in f.select("file_id", F.md5("text").alias("h"), F.size(S.words(F.col("text"))).alias("n"), S.line_count(F.col("text")).alias("loc"), F.size(F.split("text", " ", -1)).alias("parts")).collect():
         assert got[r["file_id"]] == (r["h"], r["n"], r["loc"], r["parts"], sorted(lines.get(r["file_id"], ())))
+
+
+def test_only_pairs_with_room_for_a_link_are_measured(spark, monkeypatch):
+    draw = random.Random(3)
+    sets = {k: {f"g{draw.randrange(60)}" for _ in range(draw.randrange(1, 30))} | {f"own{k}-{j}" for j in range(draw.choice((0, 0, 9)))} for k in range(80)}
+    sets |= {100 + k: sets[k] | {"one more"} for k in range(80)}
+    grams = spark.createDataFrame([(k, g) for k, s in sets.items() for g in s], "file_id long, gram string")
+    shared, sizes = candidates.several(grams), candidates.gram_sets(grams)
+    files = {g: [k for k in sets if g in sets[k]] for s in sets.values() for g in s}
+    assert {(r["file_id"], r["gram"], r["first"]) for r in shared.collect()} == {(k, g, min(x)) for g, x in files.items() if len(x) > 1 for k in x}
+    jaccard = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for x in files.values() for a in [min(x)] for b in x if a != b}
+    bounds = {(r["left"], r["right"]): r["bound"] for r in candidates.fitting(shared, sizes).collect()}
+    assert bounds.keys() == jaccard.keys() and all(bounds[p] >= round(j, 6) for p, j in jaccard.items())
+    seen, real = [], candidates.measured
+    monkeypatch.setattr(candidates, "measured", lambda d, n, pairs: seen.extend(tuple(r) for r in pairs.select("left", "right").collect()) or real(d, n, pairs))
+    monkeypatch.setattr(catalogue, "_table", lambda *_: spark.createDataFrame([(3, [1.0, 0.0]), (4, [1.0, 0.0])], "vec_id long, embedding array<double>"))
+    got = {tuple(r) for r in catalogue._linked(spark, "", sizes, shared).collect()}
+    assert got - {(3, 4)} == {p for p, j in jaccard.items() if round(j, 6) >= 0.85} and len(set(seen)) < len(jaccard) / 2
