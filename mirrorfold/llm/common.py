@@ -37,7 +37,7 @@ def cut(df: DataFrame) -> DataFrame:
         conf.set(name, own)
 
 
-_FOLDERS: list[str] = []
+_FOLDERS = checkpoints.FOLDERS
 
 
 def scratch(spark: SparkSession, what: str) -> str:

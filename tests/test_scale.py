@@ -182,3 +182,43 @@ def test_only_pairs_with_room_for_a_link_are_measured(spark, monkeypatch):
     monkeypatch.setattr(catalogue, "_table", lambda *_: spark.createDataFrame([(3, [1.0, 0.0]), (4, [1.0, 0.0])], "vec_id long, embedding array<double>"))
     got = {tuple(r) for r in catalogue._linked(spark, "", sizes, shared).collect()}
     assert got - {(3, 4)} == {p for p, j in jaccard.items() if round(j, 6) >= 0.85} and len(set(seen)) < len(jaccard) / 2
+
+
+def linked_by_hand(rows, least=8):
+    """Roots of the files that equal texts and line Jaccard 0.85 link; texts of one id are one file."""
+    from hashlib import md5
+
+    sets, whole = {}, {}
+    for i, t in rows:
+        sets.setdefault(i, set()).update(md5(x.encode()).hexdigest() for x in (t or "").split("\n") if len(x.split()) + 1 >= least)
+        if (t or "").split():
+            whole.setdefault(i, set()).add(t)
+    root = {i: i for i in sets}
+    linked = [(i, j) for i in sets for j in sets if i < j and (whole.get(i, set()) & whole.get(j, set()) or 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) > 0)]
+    for _ in root:
+        for i, j in linked:
+            root[i] = root[j] = min(root[i], root[j])
+    return {i: root[i] for pair in linked for i in pair}
+
+
+@pytest.mark.parametrize(("again", "many"), [(False, 500_000), (False, 0), (True, 0)])
+def test_sets_of_lines_are_told_where_their_text_is_read(spark, tmp_path, monkeypatch, again, many):
+    draw = random.Random(5)
+    line = lambda k: " ".join(f"w{k}x{j}" for j in range(9))
+    rows = [(k, "\n".join(line(draw.randrange(30)) for _ in range(draw.randrange(1, 12)))) for k in range(20)]
+    rows += [(30 + k, t if k % 3 else t + "\n" + line(100 + k) if k % 2 else line(99) + "\n" + t) for k, (_, t) in enumerate(rows)]
+    rows += [(60, "too short"), (61, "too short"), (62, ""), (63, None), (64, "\n"), (65, "")] + ([(30, line(7)), (61, line(8)), (66, line(8)), (0, line(200))] if again else [])
+    spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    called, sets = [], candidates.gram_sets
+    monkeypatch.setattr(candidates, "gram_sets", lambda g: called.append(g) or sets(g))
+    monkeypatch.setattr(candidates, "MANY", many)
+    got = {r["node"]: r["root"] for r in catalogue.QUERIES["components"](spark, str(tmp_path)).collect()}
+    assert got == linked_by_hand(rows) and len(got) > 20 and bool(called) == again
+
+
+def test_files_without_room_for_a_partner_are_left_out(spark):
+    sets = {1: {"a", "b", "c", "d", "e", "f"}, 2: {"a", "b", "c", "d", "e", "f", "own"}, 3: {"a", "x", "y"}, 4: {"z"}}
+    grams = spark.createDataFrame([(k, g) for k, s in sets.items() for g in s], "file_id long, gram string")
+    roomy = candidates.roomy(candidates.several(grams), candidates.gram_sets(grams)).collect()
+    assert {(r["file_id"], r["gram"], r["first"]) for r in roomy} == {(k, g, 1) for k in (1, 2) for g in "abcdef"}
