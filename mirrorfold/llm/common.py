@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import uuid
 import zlib
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from mirrorfold.plans import checkpoints
 from mirrorfold.plans.checkpoints import shared_dir
 
-__all__ = ["Memory", "cut", "drop", "held", "need", "release", "remainder", "remainder_col", "scratch", "shared_dir", "spare", "table", "texts_of", "width"]
+__all__ = ["Memory", "bounded", "cut", "drop", "held", "need", "release", "remainder", "remainder_col", "scratch", "shared_dir", "spare", "table", "texts_of", "width"]
 
 #: ASCII white space; every word of the contracts is a run of other characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,17 +27,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH = 8 << 20  # bytes of an Arrow batch, which a task holds on both sides of its Python worker
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise and forget the lineage, in Arrow batches of about BATCH bytes; the session's own bound holds if it is lower."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+@contextlib.contextmanager
+def bounded(spark: SparkSession, most: int = BATCH) -> Iterator[None]:
+    """What runs here runs in Arrow batches of about `most` bytes; the session's own bound holds if it is lower."""
+    conf, name = spark.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     own = conf.get(name)
-    conf.set(name, str(min(BATCH, df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(own))))
+    conf.set(name, str(min(most, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(own))))
     try:
-        return checkpoints.cut(df)
+        yield
     finally:
         conf.set(name, own)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise and forget the lineage, in bounded Arrow batches."""
+    with bounded(df.sparkSession):
+        return checkpoints.cut(df)
+
+
 _FOLDERS = checkpoints.FOLDERS
 
 
@@ -139,8 +147,13 @@ def held(name: str, make: Callable[[], object]):
     """
     if name not in _HELD:
         _HELD.clear()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        trim()
         _HELD[name] = make()
     return _HELD[name]
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    f = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if f:
+        f(0)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mirrorfold.llm.common import need, remainder, scratch, table
+from mirrorfold.llm.common import bounded, need, remainder, scratch, table, trim
 from mirrorfold.llm.tokens import arrow, rows
 
 STATES, CLASSES, ROUNDS = 4, 8192, 4
@@ -24,6 +24,7 @@ UNKNOWN, END = 0, 1  # the first two classes
 ADD = 0.1  # to every count
 PRIOR = 1000  # tokens by the corpus shares that each state counts besides its own
 CHUNK = 12 << 20  # bytes of text
+READ = 2 << 20  # bytes of an Arrow batch
 TOKENS = 1 << 18  # that one batch of recursions takes at most, or one document
 
 
@@ -34,11 +35,14 @@ def class_of(word: bytes) -> int:
 
 
 def chunks(docs: DataFrame, modulus: int) -> DataFrame:
-    """Two kinds of rows: a chunk's documents (ids as bytes), and the words of its dictionary with their training counts."""
+    """Two kinds of rows: a chunk's documents (ids as bytes), and the words of its dictionary with their training counts.
+
+    spot: a word's class, times 2**32, and its place in the dictionary.
+    """
     import pyarrow as pa
 
     ints = pa.list_(pa.int64())
-    schema = pa.schema([("chunk", pa.int64()), ("doc_ids", ints), ("lengths", ints), ("ids", pa.binary()), ("word", pa.binary()), ("local", pa.int32()), ("class", pa.int32()), ("c", pa.int64())])
+    schema = pa.schema([("chunk", pa.int64()), ("doc_ids", ints), ("lengths", ints), ("ids", pa.binary()), ("word", pa.binary()), ("spot", pa.int64()), ("c", pa.int64())])
 
     def make(batches) -> Iterator:
         import zstandard
@@ -52,11 +56,11 @@ def chunks(docs: DataFrame, modulus: int) -> DataFrame:
             taught = np.concatenate([x for x, t in zip(ids, train, strict=True) if t] or [np.zeros(0, np.uint32)])
             counts = np.bincount(taught, minlength=len(held))
             name, words = task << 32 | made, list(held)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([name], [doc_ids], [lengths], [zstandard.compress(flat.tobytes(), 1)], [None], [None], [None], [None]), schema.types, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([name], [doc_ids], [lengths], [zstandard.compress(flat, 1)], [None], [None], [None]), schema.types, strict=True)], schema=schema)
             for at in range(0, len(words), 50_000):
                 some = words[at : at + 50_000]
                 n = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.nulls(n, ints), pa.nulls(n, ints), pa.nulls(n, pa.binary()), pa.array(some, pa.binary()), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(list(map(class_of, some)), pa.int32()), pa.array(counts[at : at + n], pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.nulls(n, ints), pa.nulls(n, ints), pa.nulls(n, pa.binary()), pa.array(some, pa.binary()), pa.array(np.fromiter(map(class_of, some), np.int64, n) << 32 | np.arange(at, at + n)), pa.array(counts[at : at + n], pa.int64())], schema=schema)
 
         for doc_id, text in rows(batches, "doc_id", "text"):
             words = (text or b"").lower().split()
@@ -73,8 +77,10 @@ def chunks(docs: DataFrame, modulus: int) -> DataFrame:
                 doc_ids, lengths, ids, held, train, size = [], [], [], {b"": 0}, [], 0
         if doc_ids:
             yield from flush()
+        doc_ids, lengths, ids, held, train = [], [], [], {}, []
+        trim()
 
-    return need(docs, "doc_id", "text").withColumn("text", F.col("text").cast("binary")).mapInArrow(make, "chunk long, doc_ids array<long>, lengths array<long>, ids binary, word binary, local int, class int, c long")
+    return need(docs, "doc_id", "text").withColumn("text", F.col("text").cast("binary")).mapInArrow(make, "chunk long, doc_ids array<long>, lengths array<long>, ids binary, word binary, spot long, c long")
 
 
 def classed(docs: DataFrame, told: DataFrame, n: int, v: int, shares: np.ndarray) -> DataFrame:
@@ -92,19 +98,20 @@ def classed(docs: DataFrame, told: DataFrame, n: int, v: int, shares: np.ndarray
         import zstandard
 
         size = right.num_rows
-        c, kinds = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        at = right.column("local").to_numpy()
-        c[at], kinds[at] = right.column("total").to_numpy(), right.column("class").to_numpy()
+        c, kinds = np.zeros(size, np.int64), np.zeros(size, np.uint16)
+        spot = right.column("spot").to_numpy()
+        at = spot & 0xFFFFFFFF
+        c[at], kinds[at] = right.column("total").to_numpy(), spot >> 32
         kinds[c == 0] = UNKNOWN
         base = np.log10((c + ADD) / (n + ADD * (v + 1)))
         out = []
         for doc_ids, lengths, ids in rows(left.to_batches(), "doc_ids", "lengths", "ids"):
             flat = np.frombuffer(zstandard.decompress(ids), np.uint32)
             firsts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-            out.append((doc_ids, lengths, zstandard.compress(kinds[flat].astype(np.uint16).tobytes(), 1), np.add.reduceat((c > 0)[flat].astype(np.int64), firsts), np.add.reduceat(base[flat], firsts), np.add.reduceat((base - log_shares[kinds])[flat], firsts)))
+            out.append((doc_ids, lengths, zstandard.compress(kinds[flat], 1), np.add.reduceat((c > 0)[flat], firsts, dtype=np.int64), np.add.reduceat(base[flat], firsts), np.add.reduceat((base - log_shares[kinds])[flat], firsts)))
         return pa.Table.from_batches(list(arrow(out, schema)), schema)
 
-    return docs.groupBy("chunk").cogroup(told.select("chunk", "local", "class", "total").groupBy("chunk")).applyInArrow(make, "doc_ids array<long>, lengths array<long>, classes binary, known array<long>, base array<double>, rest array<double>")
+    return docs.groupBy("chunk").cogroup(told.select("chunk", "spot", "total").groupBy("chunk")).applyInArrow(make, "doc_ids array<long>, lengths array<long>, classes binary, known array<long>, base array<double>, rest array<double>")
 
 
 def batches_of(lengths: np.ndarray, chosen: np.ndarray) -> Iterator[np.ndarray]:
@@ -206,13 +213,15 @@ def train(kept: DataFrame, shares: np.ndarray, modulus: int, states: int = STATE
                     model.gather(kinds, firsts[some], n[some], into)
             seen = np.flatnonzero(into[2].sum(axis=0))
             out = [(-1, into[0].tolist()), *((-2 - s, into[1][s].tolist()) for s in range(states)), *((int(k), into[2][:, k].tolist()) for k in seen)]
+            trim()
             yield from arrow(out, schema)
 
         return make
 
     for _ in range(rounds):
         part = kept.select("doc_ids", "lengths", "classes").mapInArrow(gathered(model), "row int, counts array<double>")
-        sums = part.groupBy("row").agg(*(F.sum(F.col("counts")[s]).alias(f"s{s}") for s in range(states))).collect()  # a row a class
+        with bounded(kept.sparkSession, READ):
+            sums = part.groupBy("row").agg(*(F.sum(F.col("counts")[s]).alias(f"s{s}") for s in range(states))).collect()  # a row a class
         got = {r["row"]: np.array(r[1:]) for r in sums}
         emits = np.zeros((states, size))
         for k, x in got.items():
@@ -234,21 +243,24 @@ def scored(docs: DataFrame, modulus: int = 10, states: int = STATES, rounds: int
 
     spark = docs.sparkSession
     folder = scratch(spark, "hmm")
-    chunks(docs, modulus).write.parquet(f"{folder}/chunks")
-    words = spark.read.parquet(f"{folder}/chunks").where("local IS NOT NULL").select("chunk", "local", "class", "word", "c")
-    held = spark.read.parquet(f"{folder}/chunks").where("local IS NULL").select("chunk", "doc_ids", "lengths", "ids")
+    with bounded(spark, READ):
+        chunks(docs, modulus).write.parquet(f"{folder}/chunks")
+    words = spark.read.parquet(f"{folder}/chunks").where("spot IS NOT NULL").select("chunk", "spot", "word", "c")
+    held = spark.read.parquet(f"{folder}/chunks").where("spot IS NULL").select("chunk", "doc_ids", "lengths", "ids")
     # one shuffle by word: a word has a row for each chunk at most, and its first row stands for it
-    of = Window.partitionBy("word")
-    words.select("chunk", "local", "class", F.sum("c").over(of).alias("total"), (F.row_number().over(of.orderBy("chunk")) == 1).alias("first")).write.parquet(f"{folder}/told")
+    of = Window.partitionBy("word").orderBy("chunk")  # one order for both
+    total = F.sum("c").over(of.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    words.select("chunk", "spot", total.alias("total"), (F.row_number().over(of) == 1).alias("first")).write.parquet(f"{folder}/told")
     told = spark.read.parquet(f"{folder}/told")
     known = told.where("first AND total > 0")
     n, v = known.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
     shares = np.zeros(CLASSES)
-    for r in known.groupBy("class").agg(F.sum("total").alias("c"), F.count("*").alias("v")).collect():  # a row a class
+    for r in known.groupBy(F.shiftright("spot", 32).alias("class")).agg(F.sum("total").alias("c"), F.count("*").alias("v")).collect():  # a row a class
         shares[r["class"]] = (r["c"] + ADD * r["v"]) / (n + ADD * (v + 1))
     shares[UNKNOWN] = ADD / (n + ADD * (v + 1))
     shares = np.maximum(shares, 1e-300)
-    classed(held, told, n, v, shares).write.parquet(f"{folder}/classed")
+    with bounded(spark, READ):
+        classed(held, told, n, v, shares).write.parquet(f"{folder}/classed")
     kept = spark.read.parquet(f"{folder}/classed")
     model = train(kept, shares, modulus, states, rounds)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])

@@ -346,3 +346,19 @@ def test_recursions_look_up_a_batch_at_once():
     model.gather(kinds.view(Counted), firsts, lengths, into)
     assert Counted.asked < 10
     assert into[0].sum() == pytest.approx(4) and into[1].sum() == pytest.approx(lengths.sum() - 4) and into[2].sum(axis=0) == pytest.approx(np.bincount(kinds, minlength=9))
+
+
+def test_language_model_reads_bounded_batches(spark, monkeypatch):
+    seen, over, real = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), hmm.chunks
+
+    def watch(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            over.add(b.nbytes > 1.2 * BATCH)
+            yield b
+
+    monkeypatch.setattr(hmm, "chunks", lambda docs, modulus: real(docs.mapInArrow(watch, docs.schema), modulus))
+    docs = spark.range(0, 400, 1, 1).selectExpr("id AS doc_id", "repeat(concat('word', id % 7, ' '), 12000) AS text")
+    made = hmm.scored(docs, rounds=1)
+    assert made.agg({"n_tokens": "sum"}).first()[0] == 400 * 12_001
+    assert seen.value == 400 and over.value == 0
