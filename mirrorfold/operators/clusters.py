@@ -27,10 +27,14 @@ def masses(occurrences: DataFrame) -> DataFrame:
     return made.where("copies >= 2").withColumn("mass", F.col("canonical_nodes") * F.greatest(F.col("visible") - 1, F.lit(0)))
 
 
-def ranked(clusters: DataFrame, clone: Column) -> DataFrame:
-    """Clones by mass, then id; information is rank 0 and comes last."""
-    order = Window.orderBy(F.desc(clone), F.desc("mass"), "cluster_id")
-    return clusters.withColumn("rank", F.when(clone, F.row_number().over(order)).otherwise(0).cast("long"))
+def ranked(clusters: DataFrame, clone: Column, most: int | None = None) -> DataFrame:
+    """Clones by mass, then id; information is rank 0 and comes last.
+
+    most: only so many, the first in that order; each task sends its own first, so that no task sees all clusters.
+    """
+    order = F.desc(clone), F.desc("mass"), "cluster_id"
+    some = clusters if most is None else clusters.orderBy(*order).limit(most)
+    return some.withColumn("rank", F.when(clone, F.row_number().over(Window.orderBy(*order))).otherwise(0).cast("long"))
 
 
 def ids(occurrences: DataFrame) -> DataFrame:

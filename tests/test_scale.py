@@ -222,3 +222,35 @@ def test_files_without_room_for_a_partner_are_left_out(spark):
     grams = spark.createDataFrame([(k, g) for k, s in sets.items() for g in s], "file_id long, gram string")
     roomy = candidates.roomy(candidates.several(grams), candidates.gram_sets(grams)).collect()
     assert {(r["file_id"], r["gram"], r["first"]) for r in roomy} == {(k, g, 1) for k in (1, 2) for g in "abcdef"}
+
+
+@pytest.mark.parametrize("name, most", [("occurrence_budget", 20), ("page_window", 7), ("cluster_visibility", None)])
+def test_no_task_ranks_all_clusters(spark, linked, name, most):
+    told = plan(catalogue.QUERIES[name](spark, linked[0])).split("\n")
+    at = [k for k, x in enumerate(told) if "Window [row_number()" in x and " mass#" in x]
+    assert len(at) == (most is not None)
+    for k in at:
+        assert f"GlobalLimit {most}" in "".join(told[k + 1 : k + 3])
+
+
+def test_first_clusters_have_the_ranks_of_all(spark):
+    from mirrorfold.operators import clusters
+
+    draw = random.Random(4)
+    rows = [(f"{draw.randrange(16**6):06x}", draw.randrange(5), k % 9 > 0) for k in range(300)]
+    made = spark.createDataFrame(rows, "cluster_id string, mass long, clone boolean").repartition(7)
+    whole = {tuple(r) for r in clusters.ranked(made, F.col("clone")).collect()}
+    for most in (1, 20, 290, 400):
+        got = [tuple(r) for r in clusters.ranked(made, F.col("clone"), most).collect()]
+        assert len(got) == min(most, 300) and set(got) <= whole
+        assert sorted(r[3] for r in got if r[2]) == list(range(1, min(most, sum(x[2] for x in rows)) + 1))
+
+
+def test_clusters_of_the_first_ranks_are_those_of_all(spark, linked):
+    rows = {name: [tuple(r) for r in catalogue.QUERIES[name](spark, linked[0]).collect()] for name in ("cluster_mass_rank", "occurrence_budget", "page_window", "cluster_visibility")}
+    ranked, spent = sorted(rows["cluster_mass_rank"], key=lambda r: r[6]), 0
+    assert len(ranked) >= 3
+    want = [(r[0], r[6], spent := spent + r[3]) for r in ranked]
+    assert sorted(rows["occurrence_budget"], key=lambda r: r[1]) == [x for x in want if x[2] <= 40]
+    assert sorted(r[:3] for r in rows["page_window"]) == sorted((r[0], r[6], r[3]) for r in ranked[2:7])
+    assert sorted(r[0] for r in rows["cluster_visibility"]) == sorted(r[0] for r in ranked)
